@@ -1,8 +1,13 @@
 """Names of this subpackage's queries, with their DuckDB oracles (none where SQL can't express the operator)."""
 
-from . import simhash
+from . import digest, langid, linededup, packing, pii, simhash
 
 QUERIES = {
+    "op1_langid": langid.query,
+    "op2_pii": pii.query,
+    "op3_linededup": linededup.query,
+    "op4_digest": digest.query,
     "op6_simhash": simhash.query,
+    "op8_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
