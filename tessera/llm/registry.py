@@ -1,6 +1,6 @@
 """Names of this subpackage's queries, with their DuckDB oracles (none where SQL can't express the operator)."""
 
-from . import digest, langid, linededup, packing, pii, simhash
+from . import digest, langid, linededup, packing, pii, simhash, substrings
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_linededup": linededup.query,
     "op4_digest": digest.query,
     "op6_simhash": simhash.query,
+    "op7_substrings": substrings.query,
     "op8_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
