@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> It
         yield batch.slice(at)
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (as many as its size) for each start, in turn."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, root) for each node of `edges`: the smallest node that it reaches. Alternates large-star and small-star steps
     (Kiveris et al. 2014): each node's list stays distributed, and the number of edges never grows. The steps end when a
