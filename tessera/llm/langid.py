@@ -203,3 +203,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, prototypes(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Cosine under which a text counts as of no language: what chance gives (a deviation of 1 / sqrt(DIMENSIONS)), with room.
+LEAST = 0.05
+
+
+def of_a_language(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = LEAST, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a cosine of `least` or more."""
+    names = list(profiles)
+    unit = np.stack([profiles[k] / max(np.linalg.norm(profiles[k]), 1e-9) for k in names]) if names else np.zeros((0, dimensions))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = space_of(dimensions, seed)
+        for batch in batches:
+            for part in slices(batch):
+                v = bundles([t or "" for t in part.column("text").to_pylist()], space)
+                size = np.linalg.norm(v, axis=1)
+                best = (v @ unit.T / np.maximum(size, 1e-9)[:, None]).max(1) if names else np.zeros(len(v))
+                yield part.filter(pa.array((size > 0) & (best >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

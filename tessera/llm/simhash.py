@@ -94,3 +94,74 @@ def near_duplicates(docs: DataFrame, words: int = 3, split_above: int = SPLIT_AB
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For groups by similarity: segments of a long fingerprint, and bits of each.
+SEGMENTS, SEGMENT_BITS = 18, 28
+BITS = SEGMENTS * SEGMENT_BITS
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+
+
+def allowed(similarity: float, slack: float = 4.0) -> int:
+    """Differing bits of long fingerprints up to which texts count as similar: what is expected of sets of shingles with
+    this Jaccard similarity (the angle between them), and some more for chance."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * share + slack)
+
+
+def long_fingerprint(text: bytes, words: int) -> bytes:
+    """As fingerprint(), of BITS bits: each shingle's hash is mixed anew for every 64 of them."""
+    ws = text.lower().split()
+    if not ws:
+        return bytes(BITS // 8)
+    shingles = list(map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False))) if len(ws) >= words else [b" ".join(ws)]
+    total = np.zeros((len(_MIX), 64), np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
+        for k, c in enumerate(_MIX):
+            x = (h ^ (h >> np.uint64(32))) * np.uint64(c)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            total[k] += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(total.reshape(-1)[:BITS] * 2 > len(shingles)).tobytes()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: groups of texts whose shingles of `words` words are similar, by long fingerprints.
+
+    Each fingerprint looks up, in each segment's table, its segment value and those that set one more bit, and is
+    compared there with one member of the bucket, its leader. So a bucket costs a row a member however large it is, and two members of a bucket
+    are linked through their leader. Similar texts meet in several of the segments' tables."""
+    most = allowed(similarity)
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)], pa.binary())], ["doc_id", "fp"])
+
+    fps = written(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.BinaryType())])), "fps")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(SEGMENT_BITS, dtype=np.int32)
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+            own = bits.reshape(-1, SEGMENT_BITS).astype(np.int32) @ weights
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), SEGMENTS)), pa.array(np.tile(np.arange(SEGMENTS, dtype=np.int32), batch.num_rows)), pa.array(own.astype(np.int32))], ["id", "s", "k"])
+
+    members = nodes.select("id", "fp").mapInArrow(keys, "id bigint, s int, k int")
+    leaders = members.groupBy("s", "k").agg(F.min("id").alias("leader"))
+    ball = F.expr(f"explode(concat(array(k), transform(filter(sequence(0, {SEGMENT_BITS - 1}), i -> shiftright(k, i) & 1 = 0), i -> k | shiftleft(1, i))))")
+    met = members.select("id", "s", ball.alias("k")).join(leaders, ["s", "k"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    both = met.join(nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", "fa", "fb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= most))
+
+    roots = components(both.mapInArrow(near, "a bigint, b bigint"))
+    of_root = roots.join(nodes, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
+    grouped = roots.join(of_root, "root").select(F.col("node").alias("id"), "component_id")
+    by_fp = written(nodes.join(grouped, "id", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "groups")
+    return fps.join(by_fp, "fp").select("doc_id", "component_id")
