@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import slices, spread, table, written
 
 LENGTH = 4096
 END_ID = 1
@@ -86,48 +87,56 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(file)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        known, get, parts = self.known, self.known.get, self.PARTS.fullmatch
-        halves: dict[str, tuple[str, str]] = {}
-        new: set[str] = set()
-        found = list(map(get, words))
-        for w, v in zip(words, found, strict=True):
-            if v is None:
-                m = parts(w)
-                a, b = (m[1].lower(), m[2]) if m else (w, "")
-                halves[w] = a, b
-                if a not in known:
-                    new.add(a)
-                if b and b not in known:
-                    new.add(b)
-        names = list(new)
-        for i in range(0, len(names), 20_000):
-            part = names[i : i + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        return [(np.concatenate([known[h[0]], known[h[1]]]) if h[1] else known[h[0]]) if v is None and (h := halves[w]) else v for w, v in zip(words, found, strict=True)]
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words. The ids of word i are ids[starts[i] : starts[i] + sizes[i]]; word 0 is empty."""
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        ids, sizes = [self.ids], []
+        for i in range(0, len(words), 20_000):
+            got = [e.ids for e in self.t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            sizes += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        sizes = np.array(sizes, np.int32)
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate(ids)
+
+    def halves(self, words: list[str]) -> np.ndarray:
+        """Two known words (or the empty one) for each word, in turn."""
+        if len(self.place) > self.MOST:
+            self.clear()
+        parts, out = self.PARTS.fullmatch, []
+        for w in words:
+            m = parts(w)
+            if m:
+                out += (m[1].lower(), m[2])
+            else:
+                out += (w, "")
+        place = self.place
+        new = list(dict.fromkeys(w for w in out if w not in place))
+        if new:
+            self.learn(new)
+        return np.fromiter(map(place.__getitem__, out), np.int32, len(out))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text). texts has no null."""
         flat = pc.ascii_split_whitespace(texts)
-        sizes = np.diff(flat.offsets.to_numpy())
+        edges = flat.offsets.to_numpy() - flat.offsets[0].as_py()
         words = flat.flatten().dictionary_encode()
         place = words.indices.to_numpy(zero_copy_only=False)
         if not len(place):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        ids = self.of(words.dictionary.to_pylist())
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts, every = np.cumsum(n) - n, np.concatenate(ids)
-        each = n[place]
-        ends = np.cumsum(each)
-        at = np.arange(ends[-1]) + np.repeat(starts[place] - (ends - each), each)
-        bounds = np.concatenate([[0], ends])
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        return every[at].astype(np.uint32, copy=False), np.diff(bounds[edges])
+        parts = self.halves(words.dictionary.to_pylist())
+        every = self.ids[spread(self.starts[parts], self.sizes[parts])]  # of the distinct words, in turn
+        sizes = self.sizes[parts].reshape(-1, 2).sum(1, dtype=np.int32)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        each = sizes[place]
+        bounds = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        return every[spread(starts[place], each)], np.diff(bounds[edges])
 
 
 _words: dict[str, WordTokens] = {}
@@ -146,7 +155,7 @@ def pieces(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(file)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=6 << 20):
                 ids, sizes = words.encode(pc.fill_null(part.column(1), ""))
                 doc, piece, start, size, crc, at = [], [], [], [], [], 0
                 for i, n in enumerate(sizes.tolist()):
