@@ -1,0 +1,323 @@
+"""Operators on Spark: brute force, edge cases (nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables)."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import digest, htmltext, langid, linededup, media, packing, pii, piecetokens, simhash, substrings
+from tessera.llm.common import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, n_removed string"
+
+
+def frame(spark, texts, lang="en"):
+    """Documents numbered from 0 (or given as pairs), with columns that clash with names used inside."""
+    rows = [(t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), "f", "k", "r") for i, t in rows], SCHEMA)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(n))
+
+
+A, B, C = prose(1, 60), prose(2, 60), prose(3, 400)
+EDGES = [A, None, "", " \n\t", A, B, "é", C * 20, (7, A), (None, B), "▁ ￾ \U0010fffe <|endoftext|>", "x" * 3000]
+
+
+def test_components_by_brute_force(spark):
+    r = random.Random(5)
+    pairs = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(None, 3), (5, None)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def simhash_brute(rows):
+    fps = [simhash.fingerprint((t or "").encode()) & (1 << 64) - 1 for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    ids = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return sorted(((d, f, ids[g]) for (d, _), f, g in zip(rows, fps, group, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("split_above", [2000, 0])
+def test_simhash_by_brute_force(spark, split_above):
+    r = random.Random(3)
+    texts = list(EDGES)
+    for k in range(40):
+        ws = (A if k % 2 else C).split()
+        for _ in range(k // 8):
+            ws[r.randrange(len(ws))] = "new"
+        texts.append(" ".join(ws))
+    rows = [(t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)]
+    got = simhash.near_duplicates(frame(spark, texts), split_above=split_above).collect()
+    assert sorted(((x["doc_id"], x["fp"] & (1 << 64) - 1, x["component_id"]) for x in got), key=str) == simhash_brute(rows)
+
+
+def test_similar_groups(spark):
+    base = prose(9, 300).split()
+    near = [list(base) for _ in range(4)]
+    for k, ws in enumerate(near):
+        ws[50 + 30 * k] = "changed"
+    got = simhash.similar_groups(frame(spark, [" ".join(base), *(" ".join(w) for w in near), prose(10, 300), prose(11, 300), None, "", " ".join(base)]))
+    groups = {x["doc_id"]: x["component_id"] for x in got.collect()}
+    assert groups == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 0}
+
+
+def substrings_brute(rows):
+    first, out = {}, []
+    for d, t in rows:
+        b = (t or "").encode()
+        if d is not None:
+            for p in range(len(b) - 49):
+                w = b[p : p + 50]
+                first[w] = min(d, first.get(w, d))
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        if d is not None:
+            for p in range(len(b) - 49):
+                if first[b[p : p + 50]] < d:
+                    gone[p : p + 50] = b"\1" * 50
+        runs = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
+        out.append((d, len(b), sum(gone), runs, bytes(c for c, x in zip(b, gone, strict=True) if not x)))
+    return sorted(out, key=str)
+
+
+def test_substrings_by_brute_force(spark):
+    r = random.Random(7)
+    texts = [t for t in EDGES if t != C * 20]
+    for k in range(25):
+        a, b = r.randrange(300), r.randrange(300)
+        texts.append(prose(100 + k, 20) + A[a : a + r.randint(45, 200)] + "é" * (k % 3) + B[b : b + 120] + "to be " * (k * 5))
+    rows = [(t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in substrings.without_repeats(frame(spark, texts)).collect()]
+    assert sorted(got, key=str) == substrings_brute(rows)
+
+
+def test_lines(spark):
+    long = [prose(50 + k, 12) for k in range(8)]
+    texts = [
+        "\n".join([long[0], long[1], "ok", long[2]]),  # the first
+        "\n".join([long[3], long[0], long[1], "ok", long[4]]),  # two lines and the short one after them go
+        "\n".join([long[1], long[0]]),  # the order differs: one of two goes
+        "\n".join([long[5], "short", long[5]]),  # repeats itself: nothing goes
+        "short\nok",
+        "\n".join([long[0], long[1], "ok", long[2]]),  # a copy: all goes
+        None, "", (7, A), (None, long[0]), (20, long[5] + "\n" + long[6]),
+    ]
+    got = {(x["doc_id"], x["n_removed"]): x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[0, 0] == texts[0] and got[1, 3] == f"{long[3]}\n{long[4]}"
+    assert got[3, 0] == texts[3] and got[4, 0] == texts[4] and got[5, 4] == "" and got[6, 0] is None and got[None, 0] == long[0]
+    assert sum(1 for d, n in got if d == 2 and n == 1) == 1 and got[20, 1] == long[6]
+
+
+def test_line_columns_stay(spark):
+    df = frame(spark, ["a"])
+    assert [c for c in linededup.dedup_lines(df).columns if c != "n_lines"] == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
+
+
+def test_digests(spark):
+    texts = ["Foo  Bar", "foo bar", None, "", "xyz" * 9, (4, "second with that number")]
+    rows = sorted(((t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)), key=lambda r: (r[0], r[1] or ""))
+    for range_bytes in (12 << 20, 8):
+        got = sorted(digest.fingerprints(frame(spark, texts), range_bytes).collect(), key=lambda x: (x["doc_id"], x["n_chars"]))
+        for k, (d, t) in enumerate(rows):
+            t, then = t or "", rows[(k + 1) % len(rows)][1] or ""
+            x = next(x for x in got if x["doc_id"] == d and x["n_chars"] == len(t))
+            e = digest.edited(t, then)
+            assert x["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+            assert x["fingerprint"] == digest.digest(digest.form_of(t)) and x["edited_fingerprint"] == digest.digest(digest.form_of(e))
+            assert x["near_next"] == float(digest.canonical(t) == digest.canonical(then)) and x["near_edited"] == float(digest.canonical(t) == digest.canonical(e))
+
+
+def test_colliding_digests_are_told_apart_by_their_bytes(spark):
+    texts = [f"text {k % 40}" for k in range(80)]
+    got = digest.fingerprints(frame(spark, texts), width=1).collect()
+    by = {}
+    for x in got:
+        by.setdefault(texts[x["doc_id"]], set()).add(x["fingerprint"])
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == 40
+
+
+def test_language_id(spark):
+    r = random.Random(8)
+    word = {"aa": lambda: "".join(r.choices("aeklmn", k=5)), "bb": lambda: "".join(r.choices("oürstz", k=5))}
+    rows = [(i, " ".join(word[lang]() for _ in range(30)), lang) for i, lang in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 34", "bb"), (902, "", None), (903, "x" * 200_000, None), (None, "kale", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.prototypes(df.where(~langid.held_out()))
+    assert list(profiles) == ["aa", "bb"]
+    got = {x["doc_id"]: x for x in langid.identify(df, profiles).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:80]) and all(0 <= x["score"] <= 1 for x in got.values())
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "aa" and len(got) == 85
+    assert {x["lang_pred"] for x in langid.identify(df, {}).collect()} == {"und"}
+    kept = langid.of_a_language(df, profiles)
+    assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} >= set(range(80)) and not {900, 901, 902} & {x["doc_id"] for x in kept.collect()}
+
+
+def test_language_of_held_out_documents(spark, data):
+    from tessera.llm.common import table
+
+    got = langid.query(spark, data).join(table(spark, data, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right / n > 0.9
+
+
+def test_surrogates(spark):
+    texts = [
+        "mail jo.doe@corp.example.com, call +1 (642) 555-8067, from 66.24.73.152, card 4652288524086166.",
+        "again jo.doe@corp.example.com and ann@corp.example.com; token = \"0641917ea5c568b612dc7f4042dd956611327000\"",
+        "Frau Anna Müller, Mr. John Smith, г-жа Анна Иванова", None, "", "nothing here 2024-01-02 v1.2.3", "a@b.co, b@b.co, c@b.co, d@b.co", "y" * 50_000,
+    ]
+    rows = pii.replaced(frame(spark, texts)).collect()
+    out = [r["text"] for r in rows]
+    assert out[3] is None and out[4] == "" and out[5] == texts[5] and out[7] == texts[7]
+    assert [r["n_entities"] for r in rows] == [4, 3, 3, 0, 0, 0, 4, 0]
+    for secret in ("jo.doe@", "555-8067", "66.24.73.152", "4652288524086166", "Müller", "Smith", "Иванова", "0641917ea5c5"):
+        assert not any(secret in (t or "") for t in out)
+    first, second = out[0].split()[1].rstrip(","), out[1].split()[1]
+    assert first == second and out[1].split()[3].rstrip(";").split("@")[1] == first.split("@")[1]
+    card = out[0].rstrip(".").split()[-1]
+    digits = [int(c) for c in card]
+    assert card[0] == "4" and len(card) == 16 and (sum(digits[1::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[0::2])) % 10 == (sum(int(c) for c in "4652288524086166"[1::2]) + sum(int(c) * 2 - 9 * (int(c) > 4) for c in "4652288524086166"[0::2])) % 10
+    assert out[2].startswith("Frau ") and out[2].split(",")[0].split()[1] in pii.GIVEN["f"] and "Mr. " in out[2] and "г-жа " in out[2]
+    assert len(set(out[6].split(", "))) == 4
+    assert [r["text"] for r in pii.replaced(frame(spark, texts), key="other").collect()][0] != out[0]
+
+
+def test_surrogates_use_no_python(spark):
+    plan = pii.replaced(frame(spark, [A]))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def packed_ok(rows, length):
+    by = {}
+    for x in rows:
+        by.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= length
+    return len(by)
+
+
+def test_packing(spark):
+    df = frame(spark, EDGES)
+    file = packing.tokenizer_file()
+    rows = packing.pack(packing.pieces(df, file, 64), 64).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(file)
+    want = []
+    for i, x in enumerate(EDGES):
+        i, x = x if isinstance(x, tuple) else (i, x)
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        want += [(i, k, a, len(ids[a : a + 64]), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in ids[a : a + 64]))) for k, a in enumerate(range(0, len(ids), 64))]
+    assert sorted(((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in rows), key=str) == sorted(want, key=str)
+    n = packed_ok(rows, 64)
+    assert n <= -(-sum(x["length"] for x in rows) // 64) + 3
+
+
+def test_pieces_round_trip(spark):
+    file = piecetokens.tokenizer_file()
+    df = frame(spark, EDGES)
+    back = piecetokens.decoded(piecetokens.encoded(df, file), file)
+    assert sorted((str(x["doc_id"]), x["text"] or "") for x in back.collect()) == sorted((str(x["doc_id"]), (x["text"] or "").replace("▁", " ")) for x in df.collect())
+    assert back.where("text is null").count() == 1
+
+
+def test_media(spark, tmp_path):
+    at = f"file://{tmp_path}/media"
+    df = frame(spark, EDGES)
+    media.write_media(df, at)
+    whole = media.read_media(spark, at)
+    assert whole.count() == len(EDGES)
+    parts = media.read_media(spark, at, rangeBytes=700)
+    assert parts.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    got = media.described(parts).collect()
+    want = [(d, len((t or "").encode()), hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for d, t in ((x if isinstance(x, tuple) else (i, x)) for i, x in enumerate(EDGES))]
+    assert sorted(((x["doc_id"], x["n_bytes"], x["payload_sha256"]) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_members_are_retried_and_failures_told(spark, tmp_path):
+    at = tmp_path / "media"
+    media.write_media(frame(spark, [A, B, C]).coalesce(1), f"file://{at}")
+    (archive,) = at.glob("*.zip")
+    data = bytearray(archive.read_bytes())
+    data[100] ^= 1  # in the first member
+    archive.write_bytes(bytes(data))
+    got = {x["doc_id"]: x["media"] for x in media.read_media(spark, f"file://{at}", onError="null").collect()}
+    assert got[0] is None and media.from_png(bytes(got[1])).tobytes().rstrip(b"\xff") == B.encode()
+    with pytest.raises(Exception, match="not those that were written"):
+        media.read_media(spark, f"file://{at}").collect()
+
+
+def test_a_member_is_read_again_by_its_offset(tmp_path):
+    import zipfile
+
+    from pyarrow import fs
+
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(zipfile.ZipInfo("0_5.png"), b"payload")
+
+    class Flaky:
+        tries = 0
+
+        def open_input_file(self, p):
+            Flaky.tries += 1
+            if Flaky.tries < 3:
+                raise OSError("lost")
+            return fs.LocalFileSystem().open_input_file(p)
+
+    assert media.read_member(Flaky(), str(path), 0, 7, zlib.crc32(b"payload"), wait=0) == b"payload" and Flaky.tries == 3
+
+
+def test_pages(spark):
+    article = "<article><h1>Title here</h1>" + "".join(f"<p>{prose(k, 30)}, and more.</p>" for k in range(4)) + "</article>"
+    page = f'<html><body><nav><ul><li><a href="/">One</a></li><li><a href="/">Two</a></li></ul></nav><div class="ad">Buy this now.</div>{article}<footer>&copy; site</footer></body></html>'
+    df = spark.createDataFrame([(1, "u", page, 0), (2, "u", None, 0), (3, None, "", 0), (None, "u", page, 0)], "page_id long, url string, html string, text int")
+    got = {x["page_id"]: x for x in htmltext.extracted(df, htmltext.trained(300, 120)).collect()}
+    want = "\n".join(["Title here", *(prose(k, 30) + ", and more." for k in range(4))])
+    assert got[1]["text"] == want == got[None]["text"] and got[1]["n_chars"] == len(want)
+    assert got[2]["text"] == got[3]["text"] == "" and got[3]["n_chars"] == 0
+
+
+def test_empty_tables(spark):
+    df = frame(spark, [])
+    file = packing.tokenizer_file()
+    assert simhash.near_duplicates(df).count() == simhash.similar_groups(df).count() == 0
+    assert substrings.without_repeats(df).count() == linededup.dedup_lines(df).count() == digest.fingerprints(df).count() == 0
+    assert pii.replaced(df).count() == packing.pack(packing.pieces(df, file)).count() == 0
+    assert langid.prototypes(df) == {} and langid.identify(df, {}).count() == 0
+    assert piecetokens.encoded(df, piecetokens.tokenizer_file()).count() == 0
+
+
+def test_empty_media(spark, tmp_path):
+    media.write_media(frame(spark, []), f"file://{tmp_path}/none")
+    assert media.described(media.read_media(spark, f"file://{tmp_path}/none")).count() == 0
