@@ -9,7 +9,6 @@ from ..functions.kernels import bocpd_fold, empirical_logit, kalman_fold, logit_
 from ..sources import adapt
 
 Q, HAZARD, V0, LONGEST, SHORT, THETA = 0.01, 0.05, 1.0, 24, 3, 0.5
-VIDEO = "month"
 
 
 def dense(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Tokenizer, VectorAssembler
@@ -36,6 +36,14 @@ def scored(model, test: DataFrame) -> DataFrame:
     return model.transform(test).select("channel", "video", "label", rounded(vector_to_array("probability")[1]).alias("p"))
 
 
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split(examples(spark, sf_dir))
     return scored(RandomForestClassifier(numTrees=10, maxDepth=4, seed=3).fit(train), test)

@@ -124,3 +124,31 @@ def test_routes(spark):
 def test_folds_do_not_leak(spark, data):
     for r in growth.time_split(spark, data).collect():
         assert r["last_train"] is None or r["first_test"] is None or r["last_train"] < r["first_test"]
+
+
+def test_components_keep_their_contracts(spark, data):
+    from tessera.plans import contracts, registry
+
+    for name in contracts.CONTRACTS:
+        contracts.validated(registry.QUERIES[name](spark, data), name)
+    with pytest.raises(ValueError):
+        contracts.validated(spark.range(1), "bridge_score")
+
+
+def test_a_saved_model_predicts_as_before(spark, data, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+
+    x = learning.examples(spark, data)
+    model = Pipeline(stages=[RandomForestClassifier(numTrees=2, maxDepth=2, seed=1)]).fit(x)
+    learning.save(model, str(tmp_path / "model"))
+    before, after = (sorted((r["video"], r["prediction"]) for r in m.transform(x).select("video", "prediction").collect()) for m in (model, learning.load(str(tmp_path / "model"))))
+    assert before == after
+
+
+def test_landed_rows_are_typed(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"channel_id": "a", "title": "A", "niche": "x"}\n')
+    df = tables.read_landed(spark, str(tmp_path / "c.json"), "channels")
+    assert tables.validated(df, "channels").first()["niche"] == "x"
+    with pytest.raises(ValueError):
+        tables.validated(spark.range(1), "channels")
