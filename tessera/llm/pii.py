@@ -1,6 +1,6 @@
 """Surrogates for personal data, with DataFrame and SQL functions only.
 
-Detected are e-mail addresses, IPv4 addresses, payment card numbers, secrets (long hex strings and keys), IBANs, phone
+Detected are e-mail addresses, IPv4, IPv6 and MAC addresses, payment card numbers, secrets (long hex strings and keys), IBANs, phone
 numbers, US social security numbers and names after a title of address. Each is replaced by a surrogate of its type that a
 key determines. A surrogate has the form of what it stands for: the same length and punctuation, digits for digits, letters of
 the same case, script and kind (vowel, consonant) for letters. A name keeps its title and its last letter, which carry
@@ -42,10 +42,11 @@ GIVEN = {
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "hexid": r"(?<![\w:.-])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])|(?<![\w.(-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-])",
+    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?![\w-])|(?<![\w.(-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-])",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,100})(?!\w)",
     "name": rf"(?<![\p{{L}}\p{{M}}\d]){TITLES}\.?[  ]\p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+){{0,2}}",
 }
@@ -127,7 +128,7 @@ def surrogate(e: str, kind: str, draw: str, subkey: str) -> str:
     card = let("regexp_replace(e, '[^0-9]', '')", "d", let(body, "b", laid_over(f"concat(b, {check})", "e")))
     # The digits after the country's code change; the first of a group that can't be 0 or 1 stays over 1.
     phone = let(
-        "regexp_extract(e, '^(?:\\\\+\\\\d{1,3}(?=[ .(-]))?', 0)", "cc",
+        "regexp_extract(e, '^(?:\\\\+\\\\d{1,3}(?=[ .(-])|\\\\+\\\\d{2}|0)?', 0)", "cc",
         f"concat(cc, array_join(transform(split(regexp_replace({perm('substr(e, length(cc) + 1)', 'phone', LETTERS[:1], 'cc')}, '(?<=\\\\()[01]|(?<=\\\\) )[01]', '#'), ''), c -> case when c = '#' then '7' else c end), ''))",
     )
     local, host = "substring_index(e, '@', 1)", "substring_index(e, '@', -1)"
@@ -140,7 +141,7 @@ def surrogate(e: str, kind: str, draw: str, subkey: str) -> str:
     return let(
         e, "e",
         f"case when {draw} >= {DRAWS} then {last} when {kind} = 'email' then {email} when {kind} = 'ip' then {let("transform(split(e, '\\\\.'), x -> cast(x as bigint))", 'o', ip)} "
-        f"when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'ssn' then {perm('e', 'ssn', LETTERS[:1])} when {kind} = 'iban' then {iban} when {kind} = 'secret' then {secret} else {name} end",
+        f"when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'hexid' then case when e rlike '[A-F]' then {perm('e', 'hexid', [HEX[0].upper()])} else {perm('e', 'hexid', HEX)} end when {kind} = 'ssn' then {perm('e', 'ssn', LETTERS[:1])} when {kind} = 'iban' then {iban} when {kind} = 'secret' then {secret} else {name} end",
     )
 
 
