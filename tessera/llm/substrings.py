@@ -15,8 +15,8 @@ gets its row; a row with null doc_id stays whole and makes no other row's bytes
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +32,7 @@ from .suffixarray import suffix_array
 LENGTH, PART = 50, 22
 SIDE = (LENGTH - PART + 1) // 2
 #: Bytes of text whose cells a task takes at once, about; windows of a cell at most; starts taken at once in a text.
-BUCKET_BYTES, CELL, SEGMENT = 24 << 20, 512, 1 << 20
+BUCKET_BYTES, CELL, SEGMENT = 12 << 20, 512, 1 << 20
 #: Bytes of contents in one suffix array, about: further hashes go to the next one.
 INDEX_BYTES = 1 << 14
 
@@ -102,8 +102,9 @@ def dealt(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 CELLS, COVERS, ASKED = 0, 1, 2
-#: Columns of packed cells (hash, content's hash, doc_id, text's check, first and last window) and of packed covered windows.
-CELL_KINDS, COVER_KINDS = ("u8", "u8", "i8", "u4", "u4", "u2"), ("i8", "u4", "u4", "u4")
+#: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size), of that table (doc_id, text's
+#: check), and of packed covered windows.
+CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
 _PACKED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -126,7 +127,7 @@ def first_cells(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, most=8 << 20):
+            for piece in slices(batch, most=6 << 20):
                 got = [(d, c, *x) for d, c, t in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), piece.column(1), strict=True) for x in cells(t.as_buffer().to_pybytes())]
                 if not got:
                     continue
@@ -146,7 +147,10 @@ def first_cells(docs: DataFrame, parts: int) -> DataFrame:
                     n = int(z - a)
                     # Of the hashes 44 bits and of contents' hashes 48 are sent; bytes decide in the end where contents differ.
                     high = key[a:z] >> np.uint64(20)
-                    rows.append((CELLS, int(part[a]), n, squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z] >> np.uint64(16), doc[a:z], check[a:z], start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"))))
+                    pairs, place = np.unique(np.stack([doc[a:z], check[a:z].astype(np.int64)], 1), axis=0, return_inverse=True)
+                    own = squeezed(len(pairs), np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype("u4"))
+                    blob = squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z] >> np.uint64(16), place.reshape(-1).astype("u4"), start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"))
+                    rows.append((CELLS, int(part[a]), n, struct.pack("<II", len(pairs), len(own)) + own + blob))
                 yield packed_batch(rows)
 
     return docs.mapInArrow(run, _PACKED)
@@ -174,9 +178,12 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             if kind == COVERS:
                 yield whole([(COVERS, part, n, b) for n, b in blobs])
                 continue
-            opening = [opened(b, n, *CELL_KINDS) for n, b in blobs]
-            for x in opening:
-                x[0] = np.cumsum(x[0])
+            opening = []
+            for n, b in blobs:
+                m, size = struct.unpack_from("<II", b)
+                ids, checks = opened(b[8 : 8 + size], m, *DOC_KINDS)
+                high, content, place, start, size = opened(b[8 + size :], n, *CELL_KINDS)
+                opening.append((np.cumsum(high), content, ids[place], checks[place], start, size))
             key, content, doc, check, start, size = (np.concatenate(c) for c in zip(*opening, strict=True))
             order = np.lexsort((doc, content, key))
             key, content, doc, check, start, size = (x[order] for x in (key, content, doc, check, start, size))
@@ -205,32 +212,47 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(run, _MET)
 
 
-def repeats(contents: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """For each content (doc_id, bytes): which of its windows start in a content with a smaller doc_id, by a suffix array of all."""
-    text = bytearray()
+def repeats(groups: list[tuple[dict[bytes, int], dict[bytes, int] | None]]) -> list[np.ndarray]:
+    """For each content of each group in turn, which of its windows start in a content with a smaller doc_id, by one suffix
+    array of all. A group is its contents (bytes: doc_id) and where their 22-byte part is: if each has it once, it is one symbol
+    of the indexed text, of the group's own; if not (no place), contents are indexed as they are. Equal windows have equal hashes, so runs never span groups."""
+    text: list[int] = []
     owner: list[int] = []
     left: list[int] = []
-    for k, (_, b) in enumerate(contents):
-        text += b + b"\xff"  # not in UTF-8, so no window crosses contents
-        owner += [k] * (len(b) + 1)
-        left += range(len(b), -1, -1)
-    text = bytes(text)
-    out = [np.zeros(len(b) - LENGTH + 1, bool) for _, b in contents]
-    starts = np.cumsum([0, *(len(b) + 1 for _, b in contents)])
+    docs, starts, out = [], [], []
+    for g, (contents, places) in enumerate(groups):
+        for b, doc in contents.items():
+            k = len(docs)
+            docs.append(doc)
+            starts.append(len(text))
+            if places is None:
+                text += b
+                n, windows = len(b), len(b) - LENGTH + 1
+            else:
+                i = places[b]
+                text += b[:i]
+                text.append(257 + g)
+                text += b[i + PART :]
+                n, windows = len(b) - PART + 1, len(b) - LENGTH + 1
+            text.append(256)  # ends contents: no window crosses it
+            owner += [k] * (n + 1)
+            left += [1] * windows + [0] * (n + 1 - windows)
+            out.append(np.zeros(windows, bool))
+    span = {k: LENGTH if places is None else LENGTH - PART + 1 for k, places in enumerate(p for c, p in groups for _ in c)}
     run: list[int] = []
-    window = b""
+    window: list[int] = []
 
     def settle() -> None:
-        least = min(contents[owner[i]][0] for i in run)
+        least = min(docs[owner[i]] for i in run)
         for i in run:
             k = owner[i]
-            if contents[k][0] > least:
+            if docs[k] > least:
                 out[k][i - starts[k]] = True
 
     for i in suffix_array(text):
-        if left[i] < LENGTH:
+        if not left[i]:
             continue
-        w = text[i : i + LENGTH]
+        w = text[i : i + span[owner[i]]]
         if w == window:
             run.append(i)
         else:
@@ -242,13 +264,31 @@ def repeats(contents: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def worth(contents: dict[bytes, int]) -> dict[bytes, int]:
+def places_of(contents: Iterable[bytes]) -> dict[bytes, list[int]]:
+    """Where the 22-byte part with the smallest hash starts in each content."""
+    out: dict[bytes, list[int]] = {}
+    part = None
+    for b in contents:
+        i = b.find(part) if part is not None else -1
+        if i < 0:
+            out[b] = anchors(b)
+            part = b[out[b][0] : out[b][0] + PART]
+            continue
+        own = []
+        while i >= 0:
+            own.append(i)
+            i = b.find(part, i + 1)
+        out[b] = own
+    return out
+
+
+def worth(contents: dict[bytes, int], places: dict[bytes, list[int]]) -> dict[bytes, int]:
     """Those contents that share the bytes around their 22-byte part with another one, on one side of it at least."""
     sides: dict[tuple, int] = {}
     of: dict[bytes, set[tuple]] = {}
     for b in contents:
         own = of[b] = set()
-        for i in anchors(b):
+        for i in places[b]:
             if i >= SIDE:
                 own.add((0, b[i - SIDE : i]))
             if len(b) >= i + PART + SIDE:
@@ -277,13 +317,13 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         found: list[tuple[int, int, int, int]] = []
-        held: list[tuple[dict[bytes, int], list[tuple]]] = []
+        held: list[tuple[dict[bytes, int], dict[bytes, int] | None, list[tuple]]] = []
         size = 0
 
         def index() -> None:
             # Contents of several hashes share an index; equal windows have equal hashes, so runs never mix them.
-            masks = iter(repeats([(d, b) for contents, _ in held for b, d in contents.items()]))
-            for contents, own in held:
+            masks = iter(repeats([(contents, places) for contents, places, _ in held]))
+            for contents, _, own in held:
                 settle(own, {b: next(masks) for b in contents})
 
         def settle(own: list[tuple], masks: dict[bytes, np.ndarray]) -> None:
@@ -298,10 +338,12 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
             contents: dict[bytes, int] = {}
             for _, doc, _, _, b in own:
                 contents[b] = min(doc, contents.get(b, doc))
-            contents = worth(contents)
+            places = places_of(contents)
+            contents = worth(contents, places)
             if len(contents) < 2 or len(set(contents.values())) < 2:
                 continue
-            held.append((contents, own))
+            once = len({b[places[b][0] : places[b][0] + PART] for b in contents}) == 1 and all(len(places[b]) == 1 for b in contents)
+            held.append((contents, {b: places[b][0] for b in contents} if once else None, own))
             size += sum(map(len, contents))
             if size >= INDEX_BYTES:
                 index()
