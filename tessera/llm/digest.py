@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import in_batches, slices, table, written
 
 #: Bytes of text that one task takes in order, about; with over MOST_RANGES of them, more.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 20_000
@@ -109,7 +109,7 @@ def digests(docs: DataFrame, range_bytes: int = RANGE_BYTES, width: int = WIDTH)
                 types = [batch.column(2).type, pa.int64(), *[pa.string()] * 4, *[pa.bool_()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], out.names)
 
-    return in_ranges(docs, range_bytes).mapInArrow(run, out)
+    return in_ranges(docs, range_bytes).transform(in_batches, run, out)
 
 
 def colliding(docs: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -132,8 +132,8 @@ def colliding(docs: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFra
             b = batch.column(0).to_numpy()
             yield batch.filter(pa.array((mask.value[b // 32] >> (b % 32).astype(np.uint32)) & 1 == 1)).select(["d", "form"])
 
-    met = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(forms, "d string, form binary")
-    met = met.select(F.pmod(F.xxhash64("d"), F.lit(FILTER_BITS)).alias("b"), "d", "form").mapInArrow(sieve, "d string, form binary")
+    met = docs.select(F.col("text").cast("string").alias("text")).transform(in_batches, forms, "d string, form binary")
+    met = met.select(F.pmod(F.xxhash64("d"), F.lit(FILTER_BITS)).alias("b"), "d", "form").transform(in_batches, sieve, "d string, form binary")
     # Binary values are ordered by their bytes: if a digest's smallest and largest form are equal, all are.
     several = written(met.groupBy("d").agg(F.min("form").alias("a"), F.max("form").alias("z")).where("a <> z").select("d"), "several")
     if several.isEmpty():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import in_batches, slices, table
 
 #: Labelled pages that the field is trained on, and steps of training.
 PAGES, STEPS, SEED = 800, 200, 7
@@ -458,7 +458,7 @@ def extracted(pages: DataFrame, model: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(run, out)
+    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).transform(in_batches, run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import in_batches, resident, slices, table
 
 DIMENSIONS = 1024
 SEED = 20240229
 #: Trigram vectors that a worker keeps (others are made again when met), and entries of a table of counts at once.
-KEPT, CELLS = 16_384, 4 << 20
+KEPT, CELLS = 8192, 2 << 20
+#: Bytes of text whose trigrams are counted at once, about.
+SLICE = 768 << 10
 #: Languages that prototypes may be made for: bounds what is sent to every task.
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
@@ -38,7 +40,7 @@ class Space:
         self.d, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
-        self.matrix = np.zeros((256, dimensions), np.float32)
+        self.matrix = np.zeros((KEPT, dimensions), np.float32)
 
     def letter(self, cp: int) -> np.ndarray:
         v = self.letters.get(cp)
@@ -57,8 +59,6 @@ class Space:
                 return np.stack([self.make(c) for c in new])
         for c in new:
             i = self.place[c] = len(self.place)
-            if i >= len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
             self.matrix[i] = self.make(c)
         return self.matrix[[self.place[c] for c in codes.tolist()]]
 
@@ -132,14 +132,9 @@ def bundles(texts: list[str], space: Space) -> np.ndarray:
     return out
 
 
-_space: dict[tuple, Space] = {}
-
-
 def space_of(dimensions: int, seed: int) -> Space:
     """This worker's Space."""
-    if (dimensions, seed) not in _space:
-        _space[dimensions, seed] = Space(dimensions, seed)
-    return _space[dimensions, seed]
+    return resident(("space", dimensions, seed), lambda: Space(dimensions, seed))
 
 
 def held_out() -> F.Column:
@@ -152,7 +147,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = space_of(dimensions, seed), {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 by: dict[str, list[str]] = {}
                 for t, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     by.setdefault(lang, []).append(t)
@@ -168,7 +163,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.rint(v).astype(np.int64).tolist()], pa.list_(pa.int64()))], ["lang", "v"])
 
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sums = rows.mapInArrow(run, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    sums = rows.transform(in_batches, run, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", "v.x").limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -183,7 +178,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = space_of(dimensions, seed)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 v = bundles([t or "" for t in part.column(1).to_pylist()], space)
                 size = np.linalg.norm(v, axis=1)
                 pred, score = [UNKNOWN] * len(v), np.zeros(len(v))
@@ -196,7 +191,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
 
     kind = docs.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches, run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +212,10 @@ def of_a_language(docs: DataFrame, profiles: dict[str, np.ndarray], least: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = space_of(dimensions, seed)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 v = bundles([t or "" for t in part.column("text").to_pylist()], space)
                 size = np.linalg.norm(v, axis=1)
                 best = (v @ unit.T / np.maximum(size, 1e-9)[:, None]).max(1) if names else np.zeros(len(v))
                 yield part.filter(pa.array((size > 0) & (best >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import in_batches, table, written
 
 MIN_CHARS = 25
 
@@ -97,7 +97,7 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             of = pa.array(of, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()), strict=True))], unit.names)
 
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(units, unit)
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).transform(in_batches, units, unit)
     rows = written(rows, "lines")
     key = ["h1", "h2", "k"]
     first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "at", "u", "n", "fill")).alias("p"), F.max("doc_id").alias("last")).where(F.col("p.doc_id") != F.col("last")).drop("last")
@@ -122,7 +122,7 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 out.append(ranges)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["doc_id", "text_hash", "blocks"])
 
-    return pairs.mapInArrow(align, T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))]))
+    return pairs.transform(in_batches, align, T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))]))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import shared_dir, slices, table
+from .common import in_batches, shared_dir, slices, table
 
 FORMAT = "tessera_media"
 MANIFEST = "_manifest.json"
@@ -267,7 +267,7 @@ def write_media(docs: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     docs.sparkSession.dataSource.register(MediaSource)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, media binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_batches, run, "doc_id bigint, media binary")
     rows.write.format(FORMAT).mode("append").save(path)
 
 
@@ -296,7 +296,7 @@ def described(media: DataFrame) -> DataFrame:
 
     longs, strings = T.LongType(), T.StringType()
     out = T.StructType([T.StructField(k, t) for k, t in (("doc_id", longs), ("n_bytes", longs), ("payload_bytes", longs), ("payload_sha256", strings), ("tail_crc32", longs), ("media_bytes", longs), ("media_sha256", strings), ("feature", strings))])
-    return media.select("doc_id", "media").mapInArrow(run, out)
+    return media.select("doc_id", "media").transform(in_batches, run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, spread, table, written
+from .common import in_batches, resident, slices, spread, table, written
 
 LENGTH = 4096
 END_ID = 1
@@ -80,7 +80,7 @@ class WordTokens:
     White space gives no token and no token spans it, so a text's ids are those of its words, cut at ASCII white space. A
     word of Latin-1 letters and marks after them is its letters' ids, in lower case, and its marks' ids."""
 
-    MOST = 600_000
+    MOST = 400_000
     PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-þ]+)([!#$%&()*+,./:;=?@\[\]^_~-]*)")
 
     def __init__(self, file: str):
@@ -139,14 +139,9 @@ class WordTokens:
         return every[spread(starts[place], each)], np.diff(bounds[edges])
 
 
-_words: dict[str, WordTokens] = {}
-
-
 def words_of(file: str) -> WordTokens:
     """This worker's WordTokens."""
-    if file not in _words:
-        _words[file] = WordTokens(file)
-    return _words[file]
+    return resident(("words", file), lambda: WordTokens(file))
 
 
 def pieces(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -155,7 +150,7 @@ def pieces(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(file)
         for batch in batches:
-            for part in slices(batch, most=6 << 20):
+            for part in slices(batch, most=4 << 20):
                 ids, sizes = words.encode(pc.fill_null(part.column(1), ""))
                 doc, piece, start, size, crc, at = [], [], [], [], [], 0
                 for i, n in enumerate(sizes.tolist()):
@@ -171,7 +166,7 @@ def pieces(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_I
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType())] + [T.StructField(k, T.LongType()) for k in ("start", "length", "ids_crc32")])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches, run, out)
 
 
 def pack(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per_task: int = PER_TASK) -> DataFrame:
@@ -195,7 +190,7 @@ def pack(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per
     out = T.StructType(found.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     # Numbers of sequences that a piece fills alone are below zero.
     alone = found.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return dealt.mapInArrow(run, out).unionByName(alone)
+    return dealt.transform(in_batches, run, out).unionByName(alone)
 
 
 def tokenizer_file() -> str:

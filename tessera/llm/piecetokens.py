@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, spread, table
+from .common import in_batches, resident, slices, spread, table
 
 MARK = "\u2581"
 #: Characters of new words in one index, about; characters of a word over which its merges go through a heap.
@@ -251,14 +251,9 @@ def _cut(whole: pa.Array) -> pa.Array:
     return pa.array([re.split(f"(?<=[^{MARK}])(?={MARK})", t) for t in whole.to_pylist()], pa.list_(pa.string()))
 
 
-_tokens: dict[str, PieceTokens] = {}
-
-
 def tokens_of(file: str) -> PieceTokens:
     """This worker's PieceTokens."""
-    if file not in _tokens:
-        _tokens[file] = PieceTokens(file)
-    return _tokens[file]
+    return resident(("pieces", file), lambda: PieceTokens(file))
 
 
 def encoded(docs: DataFrame, file: str) -> DataFrame:
@@ -276,7 +271,7 @@ def encoded(docs: DataFrame, file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches, run, out)
 
 
 def decoded(rows: DataFrame, file: str) -> DataFrame:
@@ -301,7 +296,7 @@ def decoded(rows: DataFrame, file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
 
     out = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
-    return rows.select("doc_id", "ids").mapInArrow(run, out)
+    return rows.select("doc_id", "ids").transform(in_batches, run, out)
 
 
 def tokenizer_file() -> str:
@@ -329,4 +324,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches, run, out)

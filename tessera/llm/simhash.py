@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, table, written
+from .common import components, in_batches, table, written
 
 DISTANCE = 3
 #: Members of a segment value from which its bucket is split by the bytes of the other segment.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    return docs.select("doc_id", F.col("text").cast("string")).transform(in_batches, run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
 
 
 def links(fps: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
@@ -139,7 +139,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)], pa.binary())], ["doc_id", "fp"])
 
-    fps = written(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.BinaryType())])), "fps")
+    fps = written(docs.select("doc_id", F.col("text").cast("string")).transform(in_batches, run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.BinaryType())])), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             own = bits.reshape(-1, SEGMENT_BITS).astype(np.int32) @ weights
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), SEGMENTS)), pa.array(np.tile(np.arange(SEGMENTS, dtype=np.int32), batch.num_rows)), pa.array(own.astype(np.int32))], ["id", "s", "k"])
 
-    members = nodes.select("id", "fp").mapInArrow(keys, "id bigint, s int, k int")
+    members = nodes.select("id", "fp").transform(in_batches, keys, "id bigint, s int, k int")
     leaders = members.groupBy("s", "k").agg(F.min("id").alias("leader"))
     ball = F.expr(f"explode(concat(array(k), transform(filter(sequence(0, {SEGMENT_BITS - 1}), i -> shiftright(k, i) & 1 = 0), i -> k | shiftleft(1, i))))")
     met = members.select("id", "s", ball.alias("k")).join(leaders, ["s", "k"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -160,7 +160,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= most))
 
-    roots = components(both.mapInArrow(near, "a bigint, b bigint"))
+    roots = components(both.transform(in_batches, near, "a bigint, b bigint"))
     of_root = roots.join(nodes, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = roots.join(of_root, "root").select(F.col("node").alias("id"), "component_id")
     by_fp = written(nodes.join(grouped, "id", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "groups")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import in_batches, slices, table, written
 from .suffixarray import suffix_array
 
 LENGTH, PART = 50, 22
@@ -153,7 +153,7 @@ def first_cells(docs: DataFrame, parts: int) -> DataFrame:
                     rows.append((CELLS, int(part[a]), n, struct.pack("<II", len(pairs), len(own)) + own + blob))
                 yield packed_batch(rows)
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.transform(in_batches, run, _PACKED)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bytes]]]]:
@@ -209,7 +209,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
         b = packed_batch(rows)
         return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], _MET.names)
 
-    return packed.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(run, _MET)
+    return packed.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").transform(in_batches, run, _MET)
 
 
 def repeats(groups: list[tuple[dict[bytes, int], dict[bytes, int] | None]]) -> list[np.ndarray]:
@@ -309,7 +309,7 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
                 rows = [(x["key"], d, c, x["start"], t[x["start"] : x["end"] + LENGTH]) for d, c, t, xs in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), (t.as_buffer().to_pybytes() for t in piece.column(2)), piece.column(3).to_pylist(), strict=True) for x in xs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "doc_id", "check", "start", "content"])
 
-    got = both.mapInArrow(fetch, "key bigint, doc_id bigint, check bigint, start int, content binary")
+    got = both.transform(in_batches, fetch, "key bigint, doc_id bigint, check bigint, start int, content binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -356,7 +356,7 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
         if found:
             yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
 
-    return got.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _PACKED)
+    return got.repartition(parts, "key").sortWithinPartitions("key").transform(in_batches, run, _PACKED)
 
 
 def anchors(content: bytes) -> list[int]:
@@ -392,7 +392,7 @@ def removed(covers: DataFrame, parts: int) -> DataFrame:
             rows = [(int(doc[first[a]]), int(check[first[a]]), spans[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "check", "spans"])
 
-    return covers.repartition(parts, "part").sortWithinPartitions("kind", "part").mapInArrow(run, "doc_id bigint, check bigint, spans binary")
+    return covers.repartition(parts, "part").sortWithinPartitions("kind", "part").transform(in_batches, run, "doc_id bigint, check bigint, spans binary")
 
 
 def kept(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -429,7 +429,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(map(len, texts), pa.int64()), pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64()), pa.array([x[0] for x in left], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = docs.join(written(spans, "spans"), ["doc_id", "check"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return out.transform(in_batches, cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
