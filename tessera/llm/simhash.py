@@ -96,72 +96,75 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: segments of a long fingerprint, and bits of each.
-SEGMENTS, SEGMENT_BITS = 18, 28
-BITS = SEGMENTS * SEGMENT_BITS
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+#: For groups by similarity: bands of a text's minima, and minima in each. Texts with a Jaccard similarity of 0.8 share a
+#: band with a chance of 1 - (1 - 0.8 ** 7) ** 50, over 0.99999.
+BANDS, MINIMA = 50, 7
+_ODD = np.random.default_rng(42).integers(0, 1 << 32, BANDS * MINIMA, np.uint32) | np.uint32(1)
+_BAND = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, MINIMA), np.uint64) | np.uint64(1)
 
 
-def allowed(similarity: float, slack: float = 4.0) -> int:
-    """Differing bits of long fingerprints up to which texts count as similar: what is expected of sets of shingles with
-    this Jaccard similarity (the angle between them), and some more for chance."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(BITS * share + slack)
-
-
-def long_fingerprint(text: bytes, words: int) -> bytes:
-    """As fingerprint(), of BITS bits: each shingle's hash is mixed anew for every 64 of them."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The text's shingles of `words` words, as 32-bit hashes in rising order."""
     ws = text.lower().split()
     if not ws:
-        return bytes(BITS // 8)
+        return np.zeros(0, np.uint32)
     shingles = list(map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False))) if len(ws) >= words else [b" ".join(ws)]
-    total = np.zeros((len(_MIX), 64), np.int64)
-    for at in range(0, len(shingles), 1 << 14):
-        part = shingles[at : at + (1 << 14)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
-        for k, c in enumerate(_MIX):
-            x = (h ^ (h >> np.uint64(32))) * np.uint64(c)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            total[k] += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(total.reshape(-1)[:BITS] * 2 > len(shingles)).tobytes()
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles, repeat(42)), np.uint32, len(shingles)))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row: groups of texts whose shingles of `words` words are similar, by long fingerprints.
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of the set's minima under permutations."""
+    least = np.full(BANDS * MINIMA, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 1 << 11):
+        np.minimum(least, (_ODD[:, None] * shingles[at : at + (1 << 11)]).min(1), out=least)
+    x = ((least.reshape(BANDS, MINIMA).astype(np.uint64) + np.uint64(1)) * _BAND).sum(1, dtype=np.uint64)
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    Each fingerprint looks up, in each segment's table, its segment value and those that set one more bit, and is
-    compared there with one member of the bucket, its leader. So a bucket costs a row a member however large it is, and two members of a bucket
-    are linked through their leader. Similar texts meet in several of the segments' tables."""
-    most = allowed(similarity)
-    kind = docs.schema["doc_id"].dataType
+
+def likenesses(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, j): the Jaccard similarity of each pair's sets (id, hs); an id's rows in `sets` are equal."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = written(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    both = pairs.join(needed.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a").join(needed.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)], pa.binary())], ["doc_id", "fp"])
+            out = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared / max(1, len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["a", "b", "j"])
 
-    fps = written(docs.select("doc_id", F.col("text").cast("string")).transform(in_batches, run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.BinaryType())])), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    return both.transform(in_batches, run, "a bigint, b bigint, j double")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(SEGMENT_BITS, dtype=np.int32)
-        for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-            own = bits.reshape(-1, SEGMENT_BITS).astype(np.int32) @ weights
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), SEGMENTS)), pa.array(np.tile(np.arange(SEGMENTS, dtype=np.int32), batch.num_rows)), pa.array(own.astype(np.int32))], ["id", "s", "k"])
 
-    members = nodes.select("id", "fp").transform(in_batches, keys, "id bigint, s int, k int")
-    leaders = members.groupBy("s", "k").agg(F.min("id").alias("leader"))
-    ball = F.expr(f"explode(concat(array(k), transform(filter(sequence(0, {SEGMENT_BITS - 1}), i -> shiftright(k, i) & 1 = 0), i -> k | shiftleft(1, i))))")
-    met = members.select("id", "s", ball.alias("k")).join(leaders, ["s", "k"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    both = met.join(nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", "fa", "fb")
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: groups of texts whose sets of shingles of `words` words have a Jaccard similarity
+    of `similarity` or more, directly or through others.
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= most))
+    Texts that share a band of minima are candidates, and the similarity of sets decides. Members of a band's bucket are
+    compared with one of them, its leader, so a bucket costs a row a member however many copies it has."""
+    kind = docs.schema["doc_id"].dataType
 
-    roots = components(both.transform(in_batches, near, "a bigint, b bigint"))
-    of_root = roots.join(nodes, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)]
+            ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            keys = np.concatenate([np.zeros(0, np.int64), *map(bands, sets)])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "id", "ks", "hs"])
+
+    fps = written(docs.select("doc_id", F.col("text").cast("string")).transform(in_batches, run, T.StructType([T.StructField("doc_id", kind), T.StructField("id", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType())), T.StructField("hs", T.BinaryType())])), "fps")
+    members = fps.select("id", F.explode("ks").alias("k"))
+    leaders = members.groupBy("k").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
+    met = written(members.join(leaders, "k").select("k", "id", "leader").distinct(), "met")
+    sets = fps.select("id", "hs")
+    like = written(likenesses(sets, met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "like")
+    links = like.where(F.col("j") >= similarity).select("a", "b")
+    roots = components(links)
+    reps = fps.groupBy("id").agg(F.min("doc_id").alias("rep"))
+    of_root = roots.join(reps, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = roots.join(of_root, "root").select(F.col("node").alias("id"), "component_id")
-    by_fp = written(nodes.join(grouped, "id", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    return fps.join(by_fp, "fp").select("doc_id", "component_id")
+    by_id = written(reps.join(grouped, "id", "left").select("id", F.coalesce("component_id", "rep").alias("component_id")), "groups")
+    return fps.select("doc_id", "id").join(by_id, "id").select("doc_id", "component_id")

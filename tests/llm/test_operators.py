@@ -86,6 +86,30 @@ def test_similar_groups(spark):
     assert groups == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 0}
 
 
+def jaccard(a, b, words=5):
+    a, b = ({tuple(t[i : i + words]) for i in range(len(t) - words + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def changed(ws, n, seed):
+    """ws with n words changed, spread over the text."""
+    ws = list(ws)
+    for k in range(n):
+        ws[(2 * k + 1) * len(ws) // (2 * n)] = f"new{seed}x{k}"
+    return ws
+
+
+def test_texts_just_over_the_similarity_are_grouped(spark):
+    texts = []
+    for k in range(60):
+        base = prose(1000 + k, 300).split()
+        near = changed(base, 6, k)
+        assert 0.8 <= jaccard(base, near) < 0.83
+        texts += [" ".join(base), " ".join(near)]
+    groups = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert groups == {i: i // 2 * 2 for i in range(120)}
+
+
 def substrings_brute(rows):
     first, out = {}, []
     for d, t in rows:
