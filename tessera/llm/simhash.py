@@ -144,7 +144,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     of `similarity` or more, directly or through others.
 
     Texts that share a band of minima are candidates, and the similarity of sets decides. Members of a band's bucket are
-    compared with one of them, its leader, so a bucket costs a row a member however many copies it has."""
+    compared with one of them, its leader, so a bucket costs a row a member however many copies it has; those that this
+    leaves in different groups are then compared with each other, so that every pair of a bucket is covered."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +164,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     like = written(likenesses(sets, met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "like")
     links = like.where(F.col("j") >= similarity).select("a", "b")
     roots = components(links)
+    # What leaders leave: members of a bucket in different groups. A pair needs no comparison if its members' distances from
+    # the leader differ by more than the distance allowed (1 - j is a metric); all other such pairs are compared.
+    of = met.join(like.select(F.col("a").alias("leader"), F.col("b").alias("id"), "j"), ["leader", "id"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    of = of.select("k", "id", "leader", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("root", "id").alias("root"))
+    mixed = of.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
+    rest = written(of.join(mixed, "k", "left_semi"), "rest")
+    a, b = (rest.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "leader", "j", "root"))) for x in "ab")
+    left = a.where("id_a <> leader_a").join(b, "k").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("j_a") - F.col("j_b")) <= 1 - similarity + 1e-9))
+    left = written(left.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "left")
+    if not left.isEmpty():
+        roots = components(links.union(likenesses(sets, left).where(F.col("j") >= similarity).select("a", "b")))
     reps = fps.groupBy("id").agg(F.min("doc_id").alias("rep"))
     of_root = roots.join(reps, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = roots.join(of_root, "root").select(F.col("node").alias("id"), "component_id")

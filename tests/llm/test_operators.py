@@ -110,6 +110,19 @@ def test_texts_just_over_the_similarity_are_grouped(spark):
     assert groups == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_pairs_inside_families_are_grouped(spark):
+    variants = [[prose(2000 + 2 * k + v, 40).split() for v in (0, 1)] for k in range(16)]
+    texts = []
+    for i in range(16):
+        for j in range(i):  # two of 16 parts are of the other kind: members are alike, but less than 0.8
+            member = [w for k in range(16) for w in variants[k][k in (i, j)]]
+            texts += [member, changed(member, 12, f"{i}-{j}-")]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    assert {(i, j) for i in range(240) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8} == {(i + 1, i) for i in range(0, 240, 2)}
+    groups = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert groups == {i: i // 2 * 2 for i in range(240)}
+
+
 def substrings_brute(rows):
     first, out = {}, []
     for d, t in rows:
