@@ -2,8 +2,9 @@
 
 Each long line (MIN_CHARS characters or more, without white space at its ends) is known by a 128-bit hash and by which
 occurrence in its document it is. Of each such line the first document that holds it, by doc_id, is the partner of every
-later one that does: a star, so there is a row for each occurrence however many documents share a line, no line is too
-frequent to be followed, and no document's lines are sent more than once for each of them. Each pair of documents is then
+later one that does: a star, so there is a row for each occurrence however many documents share a line. Lines that this
+leaves have the next document that holds them as partner, and so on; after PASSES such passes, all earlier holders of
+what is still left are partners at once, so that no pair of documents with such lines is left out. Each pair of documents is
 aligned by patience diff: lines that are unique in both anchor the longest run that keeps both orders (rare lines first),
 and repeated lines join it where they fit between anchors. The aligned lines go from the later document, with the short
 lines that follow one if the same follow it in the earlier document.
@@ -15,19 +16,21 @@ all go has empty text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_batches, table, written
 
 MIN_CHARS = 25
+#: Passes with one partner a line; the next has all that are left.
+PASSES = 4
 
 
 def line_units(text: str, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, int, bool, int, int, int]]:
@@ -81,6 +84,33 @@ def aligned(pairs: list[tuple[int, int, bool]]) -> list[int]:
     return out[:-1]
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (ends included) in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and out[-1][1] >= s - 1:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def extent(at: int, n: int) -> tuple[int, int]:
+    """The lines that go with an aligned unit."""
+    return at, at + n
+
+
+def covered(at: int, ranges: list[tuple[int, int]]) -> bool:
+    """Whether the unit's line is in one of the ranges."""
+    k = bisect_right(ranges, (at, 1 << 62)) - 1
+    return k >= 0 and at <= ranges[k][1]
+
+
+def filled() -> Column:
+    """How many lines go with a unit that both documents hold."""
+    return F.when((F.col("n") == F.col("p.n")) & (F.col("fill") == F.col("p.fill")), F.col("n")).otherwise(0)
+
+
 def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, blocks): the ranges of lines (from 0, ends included) that go from each document that loses some."""
     kind = docs.schema["doc_id"].dataType
@@ -102,27 +132,56 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     key = ["h1", "h2", "k"]
     first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "at", "u", "n", "fill")).alias("p"), F.max("doc_id").alias("last")).where(F.col("p.doc_id") != F.col("last")).drop("last")
     met = rows.join(first, key).where(F.col("doc_id") > F.col("p.doc_id"))
-    pairs = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("p.doc_id").alias("p"), "at", F.col("p.at").alias("pat"), (F.col("u") & F.col("p.u")).alias("u"), F.when((F.col("n") == F.col("p.n")) & (F.col("fill") == F.col("p.fill")), F.col("n")).otherwise(0).alias("n"))).alias("x"))
+    cut = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))), T.StructField("left", T.ArrayType(T.IntegerType()))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, left = [], []
             for xs in batch.column(2).to_pylist():
-                by: dict[object, list[tuple[int, int, bool]]] = {}
-                fill: dict[int, int] = {}
+                by: dict[object, dict[int, tuple[int, bool, int]]] = {}
                 for x in xs:
-                    by.setdefault(x["p"], []).append((x["at"], x["pat"], x["u"]))
-                    fill[x["at"]] = x["n"]
-                ranges: list[dict[str, int]] = []
-                for s in sorted(i for pairs in by.values() for i in aligned(pairs)):
-                    if ranges and ranges[-1]["e"] >= s - 1:
-                        ranges[-1]["e"] = max(ranges[-1]["e"], s + fill[s])
-                    else:
-                        ranges.append({"s": s, "e": s + fill[s]})
-                out.append(ranges)
+                    of = by.setdefault(x["p"], {})
+                    of[x["at"]] = min(of.get(x["at"], (1 << 62,)), (x["pat"], x["u"], x["n"]))
+                ranges = merged([extent(i, of[i][2]) for of in by.values() for i in aligned([(at, pat, u) for at, (pat, u, _) in of.items()])])
+                out.append([{"s": s, "e": e} for s, e in ranges])
+                left.append([i for i in sorted({x["at"] for x in xs}) if not covered(i, ranges)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(left, pa.list_(pa.int32()))], cut.names)
+
+    def cuts(met: DataFrame) -> DataFrame:
+        """The aligned blocks of each document with its partners, and the lines that stay: met has the document's lines with `p`, the partner's."""
+        found = F.struct(F.col("p.doc_id").alias("p"), "at", F.col("p.at").alias("pat"), (F.col("u") & F.col("p.u")).alias("u"), filled().alias("n"))
+        return written(met.groupBy("doc_id", "th").agg(F.collect_list(found).alias("x")).transform(in_batches, align, cut), "cuts")
+
+    passes = [cuts(met)]
+    # Lines that were not aligned with their partner: the next document that holds them is the partner, in which all lines
+    # that both hold take part. After some passes all earlier holders of what is still left are partners at once.
+    left = passes[0].select("doc_id", F.col("text_hash").alias("th"), F.explode("left").alias("at"))
+    tried = first.select(*key, F.col("p.doc_id").alias("tried"))
+    left = written(left.join(rows, ["doc_id", "th", "at"]).select("doc_id", "th", "at", *key).join(tried, key), "left")
+    while not left.isEmpty():
+        holders = rows.select(*key, F.col("doc_id").alias("p")).join(left.groupBy(key).agg(F.max("tried").alias("tried"), F.max("doc_id").alias("last")), key).where((F.col("p") > F.col("tried")) & (F.col("p") < F.col("last")))
+        holders = holders.groupBy(key).agg(F.min("p").alias("p")) if len(passes) < PASSES else holders.select(*key, "p").distinct()
+        now = written(left.drop("tried").join(holders, key).where(F.col("doc_id") > F.col("p")), "now")
+        pairs = now.select("doc_id", "th", "p").distinct()
+        theirs = rows.select(*key, F.struct("doc_id", "at", "u", "n", "fill").alias("p"), F.col("doc_id").alias("of"))
+        both = pairs.withColumnRenamed("p", "of").join(rows, ["doc_id", "th"]).join(theirs, ["of", *key])
+        passes.append(cuts(both))
+        if len(passes) > PASSES:
+            break
+        still = passes[-1].select("doc_id", F.col("text_hash").alias("th"), F.explode("left").alias("at"))
+        left = written(now.withColumnRenamed("p", "tried").join(still, ["doc_id", "th", "at"], "left_semi"), "left")
+    if len(passes) == 1:
+        return passes[0].drop("left")
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.union(more)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"s": s, "e": e} for s, e in merged([(x["s"], x["e"]) for x in xs])] for xs in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["doc_id", "text_hash", "blocks"])
 
-    return pairs.transform(in_batches, align, T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))]))
+    return every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks")).transform(in_batches, merge, T.StructType(cut.fields[:3]))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -171,6 +171,16 @@ def test_lines(spark):
     assert sum(1 for d, n in got if d == 2 and n == 1) == 1 and got[20, 1] == long[6]
 
 
+def test_lines_find_every_partner(spark):
+    long = [prose(70 + k, 12) for k in range(10)]
+    texts = ["\n".join(long[::-1]), "\n".join(long), "\n".join(long), "\n".join(long[5:] + long[:5]), "\n".join(long[5:] + long[:5])]
+    # Six orders that each cross all before in part, then copies: the last pass finds what the first ones leave.
+    texts += ["\n".join(long[k:] + long[:k][::-1]) for k in (1, 2, 3, 4, 6, 7)]
+    texts += texts[5:]
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[2] == got[4] == "" and all(got[k] == "" for k in range(11, 17))
+
+
 def test_line_columns_stay(spark):
     df = frame(spark, ["a"])
     assert [c for c in linededup.dedup_lines(df).columns if c != "n_lines"] == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
