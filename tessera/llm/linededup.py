@@ -1,7 +1,8 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
 Each long line (MIN_CHARS characters or more, without white space at its ends) is known by a 128-bit hash and by which
-occurrence in its document it is. Of each such line the first document that holds it, by doc_id, is the partner of every
+occurrence in its document it is; so are the runs of lines, as short as reach MIN_CHARS, that begin or end at a short
+line (single short lines are too common to say that documents overlap). Of each such line the first document that holds it, by doc_id, is the partner of every
 later one that does: a star, so there is a row for each occurrence however many documents share a line. Lines that this
 leaves have the next document that holds them as partner, and so on; after PASSES such passes, all earlier holders of
 what is still left are partners at once, so that no pair of documents with such lines is left out. Each pair of documents is
@@ -33,17 +34,43 @@ MIN_CHARS = 25
 PASSES = 4
 
 
+#: Kinds of units, in the order in which they are at one line: a run that begins there, the line itself, a run that ends there.
+BEGINS, LINE, ENDS = range(3)
+
+
 def line_units(text: str, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, int, bool, int, int, int]]:
-    """(hash, hash, occurrence, unique in the text, line, short lines after it, their hash) of each long line."""
+    """(hash, hash, occurrence, unique in the text, three times its line and its kind, lines that go with it, their hash) of each unit.
+
+    A long line is a unit, with the short lines after it. A short line begins and ends a run of non-empty lines that together have
+    min_chars characters, no longer than needed; these runs are units. A text without so many characters is one unit."""
     lines = [x.strip() for x in text.split("\n")]
-    long = [i for i, x in enumerate(lines) if len(x) >= min_chars]
-    counts, seen = Counter(lines[i] for i in long), Counter()
+    full = [i for i, x in enumerate(lines) if x]
+    long = [i for i in full if len(lines[i]) >= min_chars]
+    units: list[tuple[int, str, int, int]] = []
     for i, end in zip(long, [*long, len(lines)][1:], strict=True):
-        h = xxhash.xxh3_128_intdigest(lines[i].encode("utf-8", "surrogatepass"))
         n = end - i - 1
         fill = xxhash.xxh3_64_intdigest("\n".join(lines[i + 1 : end]).encode("utf-8", "surrogatepass")) if n else 0
-        yield (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), seen[lines[i]], counts[lines[i]] == 1, i, n, fill - (1 << 63)
-        seen[lines[i]] += 1
+        units.append((3 * i + LINE, lines[i], n, fill))
+    if full and sum(len(lines[i]) for i in full) < min_chars:
+        units.append((3 * full[0] + BEGINS, "\n".join(["whole", *(lines[i] for i in full)]), full[-1] - full[0], 0))
+    elif len(long) < len(full):
+        for kind, name, step in ((BEGINS, "begins", 1), (ENDS, "ends", -1)):
+            for k, i in enumerate(full):
+                if len(lines[i]) >= min_chars:
+                    continue
+                size, j = 0, k
+                while 0 <= j < len(full) and size < min_chars:
+                    size += len(lines[full[j]])
+                    j += step
+                if size >= min_chars:
+                    run = full[k:j] if step > 0 else full[j + 1 : k + 1]
+                    units.append((3 * i + kind, "\n".join([name, *(lines[x] for x in run)]), run[-1] - run[0], 0))
+    units.sort()
+    counts, seen = Counter(u[1] for u in units), Counter()
+    for at, what, n, fill in units:
+        h = xxhash.xxh3_128_intdigest(what.encode("utf-8", "surrogatepass"))
+        yield (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), seen[what], counts[what] == 1, at, n, fill - (1 << 63)
+        seen[what] += 1
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,18 +124,19 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def extent(at: int, n: int) -> tuple[int, int]:
     """The lines that go with an aligned unit."""
-    return at, at + n
+    line, kind = divmod(at, 3)
+    return (line - n, line) if kind == ENDS else (line, line + n)
 
 
 def covered(at: int, ranges: list[tuple[int, int]]) -> bool:
     """Whether the unit's line is in one of the ranges."""
-    k = bisect_right(ranges, (at, 1 << 62)) - 1
-    return k >= 0 and at <= ranges[k][1]
+    k = bisect_right(ranges, (at // 3, 1 << 62)) - 1
+    return k >= 0 and at // 3 <= ranges[k][1]
 
 
 def filled() -> Column:
     """How many lines go with a unit that both documents hold."""
-    return F.when((F.col("n") == F.col("p.n")) & (F.col("fill") == F.col("p.fill")), F.col("n")).otherwise(0)
+    return F.when((F.col("at") % 3 != LINE) | (F.col("n") == F.col("p.n")) & (F.col("fill") == F.col("p.fill")), F.col("n")).otherwise(0)
 
 
 def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -181,6 +181,20 @@ def test_lines_find_every_partner(spark):
     assert got[0] == texts[0] and got[2] == got[4] == "" and all(got[k] == "" for k in range(11, 17))
 
 
+def test_short_lines_go_with_their_runs(spark):
+    long = prose(90, 12)
+    verse = [f"verse line {k}" for k in range(8)]
+    texts = [
+        "\n".join([*verse, "", long, "a", "b", "c of the first one"]),
+        "\n".join(verse),  # short lines only
+        "\n".join([*verse[:3], "another", *verse[4:], long, "a", "other", "c of the first one"]),  # one line differs in each run
+        "tiny\n\nlines", "tiny\nlines", "tiny\nlines, not the same",
+        "\n".join(["verse line 2", prose(91, 12)]),  # no run of the first
+    ]
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "", 2: "another\nother\nc of the first one", 3: texts[3], 4: "", 5: texts[5], 6: texts[6]}
+
+
 def test_line_columns_stay(spark):
     df = frame(spark, ["a"])
     assert [c for c in linededup.dedup_lines(df).columns if c != "n_lines"] == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
