@@ -152,3 +152,18 @@ def test_landed_rows_are_typed(spark, tmp_path):
     assert tables.validated(df, "channels").first()["niche"] == "x"
     with pytest.raises(ValueError):
         tables.validated(spark.range(1), "channels")
+
+
+def test_weekly_series_are_of_channel_and_topic(spark, data):
+    from tessera.operators import emerging
+
+    rows = emerging.dense(spark, data, "week", emerging.CHANNEL_TOPIC).collect()
+    series = {(r["channel"], r["topic"]) for r in rows}
+    assert len({r["channel"] for r in rows}) > 1 and len(rows) == len(series) * len({r["t"] for r in rows})
+    by = {}
+    for r in rows:
+        by[r["topic"], r["t"]] = by.get((r["topic"], r["t"]), 0) + r["n"]
+    assert by == {(r["topic"], r["t"]): r["n"] for r in emerging.dense(spark, data, "week").collect()}
+    for f in (emerging.kalman_level_weekly, emerging.alert_view_weekly):
+        got = f(spark, data).collect()
+        assert {(r["channel"], r["topic"]) for r in got} == series and len(got) == len(series)
