@@ -101,6 +101,49 @@ def bridge_rank(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return best.select("channel", "rank", rounded("score").alias("score"), F.concat_ws(",", F.slice("t.topic", 1, 2)).alias("shared_topics"))
 
 
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audience(spark, sf_dir).select("channel").distinct()
+
+
+def ppr_topk_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ppr_topk with each channel as target."""
+    w = Window.partitionBy("target").orderBy(F.round("r", 8).desc(), "channel")
+    r = ppr(hops(audience(spark, sf_dir)), channels(spark, sf_dir))
+    return r.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP).select("target", "channel", "rank", rounded("r").alias("r"))
+
+
+def shared_audience_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shared_audience_conf with each channel as target."""
+    n = F.col("w").cast("long")
+    return channel_graph(spark, sf_dir).select(F.col("a").alias("target"), F.col("b").alias("channel"), n.alias("n_shared"), rounded(n / (n + KAPPA)).alias("confidence"))
+
+
+def bridges_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bridges with each channel as target: (target, channel, ppr, topic_similarity, confidence, score)."""
+    r = ppr(hops(audience(spark, sf_dir)), channels(spark, sf_dir)).where("channel <> target")
+    r = r.withColumn("most", F.max("r").over(Window.partitionBy("target")))
+    s = growth.similarities(spark, sf_dir).select(F.col("a").alias("target"), F.col("b").alias("channel"), "s")
+    c = channel_graph(spark, sf_dir).select(F.col("a").alias("target"), F.col("b").alias("channel"), (F.col("w") / (F.col("w") + KAPPA)).alias("confidence"))
+    x = r.join(s, ["target", "channel"], "left").join(c, ["target", "channel"], "left").na.fill(0.0, ["s", "confidence"])
+    ppr_norm = F.try_divide("r", "most")
+    return x.select("target", "channel", ppr_norm.alias("ppr"), F.col("s").alias("topic_similarity"), "confidence", (F.col("confidence") * (LAMBDA * ppr_norm + (1 - LAMBDA) * F.col("s"))).alias("score"))
+
+
+def bridge_score_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridges_by_target(spark, sf_dir).select("target", "channel", *(rounded(c).alias(c) for c in ("ppr", "topic_similarity", "confidence", "score")))
+
+
+def bridge_rank_by_target(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """bridge_rank with each channel as target."""
+    w = Window.partitionBy("target").orderBy(F.round("score", 8).desc(), "channel")
+    top = bridges_by_target(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    p = growth.shares(spark, sf_dir).select("channel", "topic", "p")
+    own = p.select(F.col("channel").alias("target"), "topic", F.col("p").alias("own"))
+    both = top.join(p, "channel").join(own, ["target", "topic"]).withColumn("m", F.round(F.least("p", "own"), 8))
+    best = both.groupBy("target", "channel", "rank", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "topic"))).alias("t"))
+    return best.select("target", "channel", "rank", rounded("score").alias("score"), F.concat_ws(",", F.slice("t.topic", 1, 2)).alias("shared_topics"))
+
+
 def channel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, w), both ways: commenters that channels share. A commenter counts for each pair of its channels, whose number the configured list bounds."""
     x = audience(spark, sf_dir).select(F.col("channel").alias("a"), "commenter")

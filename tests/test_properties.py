@@ -167,3 +167,15 @@ def test_weekly_series_are_of_channel_and_topic(spark, data):
     for f in (emerging.kalman_level_weekly, emerging.alert_view_weekly):
         got = f(spark, data).collect()
         assert {(r["channel"], r["topic"]) for r in got} == series and len(got) == len(series)
+
+
+def test_each_channel_is_a_target(spark, data):
+    from tessera.operators import bridge
+
+    every = {r["channel"] for r in bridge.channels(spark, data).collect()}
+    assert len(every) > 1
+    for name, one in (("ppr_topk", bridge.ppr_topk), ("shared_audience", bridge.shared_audience_conf), ("bridge_score", bridge.bridge_score), ("bridge_rank", bridge.bridge_rank)):
+        got = getattr(bridge, f"{name}_by_target")(spark, data).collect()
+        want = one(spark, data)
+        assert {r["target"] for r in got} == every
+        assert sorted(tuple(r[c] for c in want.columns) for r in got if r["target"] == bridge.TARGET) == sorted(map(tuple, want.collect()))
