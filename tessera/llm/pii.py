@@ -38,11 +38,14 @@ GIVEN = {
     "f": ["Alice", "Anna", "Barbara", "Carmen", "Claire", "Elena", "Emma", "Grace", "Hannah", "Ingrid", "Julia", "Laura", "Lucía", "Maria", "Marie", "Mary", "Nora", "Olivia", "Sarah", "Sofia"],
     "m": ["Adam", "Carlos", "Daniel", "David", "Erik", "Felix", "George", "Henri", "Jacob", "James", "Javier", "John", "Louis", "Lukas", "Martin", "Miguel", "Paul", "Peter", "Robert", "Thomas"],
 }
+#: IPv6 addresses with '::' for groups of zeros, by the number of groups before it; an IPv4 address at the end is one of its own.
+_H = "[0-9A-Fa-f]{1,4}"
+SHORT_IPV6 = "(?:" + "|".join([f"(?:{_H}:){{1,7}}:", *(f"(?:{_H}:){{{k}}}(?::{_H}){{1,{7 - k}}}" for k in range(1, 7)), f":(?::{_H}){{1,7}}"]) + r")(?!\.\d)"
 #: Each pattern is tried at each place in this order; the first that matches there wins.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "hexid": r"(?<![\w:.-])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])",
+    "hexid": rf"(?<![\w:.-])(?:{SHORT_IPV6}|" r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
@@ -151,8 +154,9 @@ def kind_of(e: str) -> str:
 
 
 def found(text: str = "text") -> Column:
-    """The entities of the text, in order."""
-    return F.expr(f"case when {text} rlike '[0-9@]' or {text} rlike {quoted(PATTERNS['name'])} then regexp_extract_all({text}, {quoted(ANY)}, 0) else array() end")
+    """The entities of the text, in order. A text without a digit and '@' can only have those of three types."""
+    bare = "|".join(PATTERNS[k] for k in ("hexid", "secret", "name"))
+    return F.expr(f"case when {text} rlike '[0-9@]' or {text} rlike {quoted(bare)} then regexp_extract_all({text}, {quoted(ANY)}, 0) else array() end")
 
 
 def redrawn(docs: DataFrame, subkey: str) -> DataFrame:
