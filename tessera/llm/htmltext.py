@@ -6,7 +6,7 @@ field's states are main text and anything else; it is trained (penalised likelih
 and decoded by Viterbi's algorithm. The labelled pages are made by rule, in `labelled_pages`: layouts of many kinds with
 invented words, so no word of a page, but its form, counts.
 
-Scripts, styles, heads, form controls and comments of markup are no text. Character references are decoded; white space inside a block is one
+Scripts, styles, titles, form controls and comments of markup are no text. Character references are decoded; white space inside a block is one
 space (so is a line break element); the blocks that stay are joined by one newline, none dropped or cut.
 
 Given results: null or empty html, or html without text, gives empty text; broken markup is read as browsers do in the
@@ -35,14 +35,15 @@ PAGES, STEPS, SEED = 800, 200, 7
 
 #: Elements by kind (fixed values of HTML).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-SILENT = "script|style|noscript|template|svg|math|textarea|select|button|head|title|iframe|object|canvas|audio|video"
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace semantics".split())
+SILENT = "script|style|noscript|template|svg|textarea|select|button|title|iframe|object|canvas|audio|video"
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 SECTIONS = {"article", "aside", "footer", "form", "header", "main", "nav"}
 SCOPES = {"article", "aside", "blockquote", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "li", "ul", "ol", "figure", "fieldset", "details"}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=silent)\s*>|.*\Z)"
+    r"<!--.*?(?:-->|\Z)|</?head(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>"
+    rf"|<(?P<silent>{SILENT})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=silent)\s*>|.*\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|</[^>]*>",
     re.S | re.I,
 )

@@ -174,3 +174,17 @@ def test_nfkc_is_stable_for_canonical_forms():
     for t in ("ﬁﬂ ① Ⅷ", "Å Å", "ς Σ"):
         c = digest.canonical(t)
         assert unicodedata.normalize("NFKC", c) == c and digest.canonical(c) == c
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=x><style>a{}</style><body><p>one</p>", ["one"]),
+        ("<head><title>T</title></head><header>q</header><p>one</p>", ["q", "one"]),
+        ("<p>a <svg width='1'/> b</p><p>c <svg/> d</p>", ["a b", "c d"]),
+        ("<p>a <svg><text>no</text></svg> b</p>", ["a b"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>", ["let x=2 be"]),
+    ],
+)
+def test_silent_elements_end(page, want):
+    assert [b.text for b in htmltext.leaf_blocks(page)] == want
