@@ -13,7 +13,6 @@ its own; a null doc_id stays null; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -78,49 +77,71 @@ class WordTokens:
     """Ids by the tokenizers library of a word-wise vocabulary, with each distinct word of a worker tokenised once.
 
     White space gives no token and no token spans it, so a text's ids are those of its words, cut at ASCII white space. A
-    word of Latin-1 letters and marks after them is its letters' ids, in lower case, and its marks' ids."""
+    word of Latin-1 letters and marks after them is its letters' ids, in lower case, and its marks' ids. Lower-case letters
+    need no normalising and no cutting, so they go straight to the merges."""
 
     MOST = 400_000
-    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-þ]+)([!#$%&()*+,./:;=?@\[\]^_~-]*)")
+    MARKS = "!#$%&()*+,./:;=?@[]^_~-"
+    WORD, LOWER = "^[A-Za-zÀ-ÖØ-öø-þ]+$", "^[a-zß-öø-þ]+$"
+    #: Words that go to the library at once.
+    AT_ONCE = 20_000
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_file(file)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.t, self.letters = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.t.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids end a word
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         """Forget all words. The ids of word i are ids[starts[i] : starts[i] + sizes[i]]; word 0 is empty."""
-        self.place: dict[str, int] = {"": 0}
+        self.known = pa.array([""])
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Adds distinct words that are not known; returns their numbers."""
+        plain = pc.match_substring_regex(words, self.LOWER)
+        letters, others = words.filter(plain), words.filter(pc.invert(plain))
         ids, sizes = [self.ids], []
-        for i in range(0, len(words), 20_000):
-            got = [e.ids for e in self.t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            sizes += map(len, got)
+        for i in range(0, len(letters), self.AT_ONCE):
+            got = self.letters.encode_batch_fast([letters[i : i + self.AT_ONCE].to_pylist()], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got[0].ids, np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1))
+        for i in range(0, len(others), self.AT_ONCE):
+            got = [e.ids for e in self.t.encode_batch_fast(others[i : i + self.AT_ONCE].to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
             ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        sizes = np.array(sizes, np.int32)
+        sizes, first = np.concatenate(sizes).astype(np.int32), len(self.known)
+        self.known = pa.concat_arrays([self.known, letters, others])
         self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate(ids)
+        plain = plain.to_numpy(zero_copy_only=False)
+        return first + np.where(plain, np.cumsum(plain) - 1, len(letters) + np.cumsum(~plain) - 1)
 
-    def halves(self, words: list[str]) -> np.ndarray:
-        """Two known words (or the empty one) for each word, in turn."""
-        if len(self.place) > self.MOST:
+    def halves(self, words: pa.Array) -> np.ndarray:
+        """For each distinct word two known words, of which the second may be the empty one: all first ones, then all second ones."""
+        if len(self.known) > self.MOST:
             self.clear()
-        parts, out = self.PARTS.fullmatch, []
-        for w in words:
-            m = parts(w)
-            if m:
-                out += (m[1].lower(), m[2])
-            else:
-                out += (w, "")
-        place = self.place
-        new = list(dict.fromkeys(w for w in out if w not in place))
-        if new:
-            self.learn(new)
-        return np.fromiter(map(place.__getitem__, out), np.int32, len(out))
+        stems = pc.utf8_rtrim(words, self.MARKS)
+        split = pc.match_substring_regex(stems, self.WORD)
+        firsts = pc.if_else(split, pc.utf8_lower(stems), words)
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+        marks = np.where(split.to_numpy(zero_copy_only=False), sizes - pc.binary_length(stems).to_numpy(zero_copy_only=False), 0).astype(np.int32)
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+        text = np.frombuffer(data or b"", np.uint8)[spread(ends - marks, marks)]
+        seconds = pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(marks)]).astype(np.int32)), pa.py_buffer(text))
+        both = pa.concat_arrays([firsts, seconds]).dictionary_encode()
+        place = pc.index_in(both.dictionary, self.known)
+        new = pc.is_null(place)
+        numbers = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).copy()
+        if place.null_count:
+            numbers[new.to_numpy(zero_copy_only=False)] = self.learn(both.dictionary.filter(new))
+        return numbers[both.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text). texts has no null."""
@@ -130,7 +151,7 @@ class WordTokens:
         place = words.indices.to_numpy(zero_copy_only=False)
         if not len(place):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        parts = self.halves(words.dictionary.to_pylist())
+        parts = self.halves(words.dictionary).reshape(2, -1).T.ravel()
         every = self.ids[spread(self.starts[parts], self.sizes[parts])]  # of the distinct words, in turn
         sizes = self.sizes[parts].reshape(-1, 2).sum(1, dtype=np.int32)
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
