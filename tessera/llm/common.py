@@ -34,7 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors and keeps its size known to the planner."""
     at = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written(); only for those that nothing reads any more, a lost executor's work included."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def give_back() -> None:
@@ -116,10 +125,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         # Small star: every smaller neighbour of u, and u, are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = written(
+        before, e = e, written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
         )
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

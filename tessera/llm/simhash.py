@@ -12,6 +12,7 @@ component (null if there is none); an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, in_batches, table, written
+from .common import components, discard, in_batches, table, written
 
 DISTANCE = 3
 #: Members of a segment value from which its bucket is split by the bytes of the other segment.
@@ -121,62 +122,121 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def likenesses(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, j): the Jaccard similarity of each pair's sets (id, hs); an id's rows in `sets` are equal."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = written(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    both = pairs.join(needed.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a").join(needed.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
+def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, na, nb): how many shingles each pair's sets (id, hs) share, and how many each has."""
+    sized = sets.select("id", "hs", (F.length("hs") / 4).cast("long").alias("n"))
+    # a may be one set for very many pairs: it is looked up last, so that its copies aren't moved again.
+    both = pairs.join(sized.toDF("b", "hb", "nb"), "b").join(sized.toDF("a", "ha", "na"), "a").select("a", "b", "na", "nb", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared / max(1, len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["a", "b", "j"])
+            shared = [
+                len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), assume_unique=True))
+                for x, y in zip(batch.column(4), batch.column(5), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), *batch.columns[2:4]], ["a", "b", "shared", "na", "nb"])
 
-    return both.transform(in_batches, run, "a bigint, b bigint, j double")
+    return both.transform(in_batches, run, "a bigint, b bigint, shared bigint, na bigint, nb bigint")
+
+
+def added(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
+    """`family` with a row for each shingle q among the first that a member has beside its pivot's, and how many such the member
+    has from there on (`left`). Two members of a similarity of `similarity` that share any shingle beside the pivot's
+    share one of these: the prefix filter, by the order of hashes."""
+    both = family.join(sets.select("id", "hs"), "id").join(sets.toDF("pivot", "hp"), "pivot")
+    names = [c for c in family.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, qs, left = [], [], []
+            for i, (x, p) in enumerate(zip(batch.column("hs"), batch.column("hp"), strict=True)):
+                x = np.frombuffer(x.as_buffer(), np.uint32)
+                own = np.setdiff1d(x, np.frombuffer(p.as_buffer(), np.uint32), assume_unique=True)
+                first = own[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+                of.append(np.full(len(first), i, np.int32))
+                qs.append(first)
+                left.append(len(own) - np.arange(len(first)))
+            of = pa.array(np.concatenate([np.zeros(0, np.int32), *of]))
+            more = [pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int64)) for x in (qs, left)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in names), *more], [*names, "q", "left"])
+
+    return both.select(*names, "hs", "hp").transform(in_batches, run, T.StructType([*family.schema.fields, T.StructField("q", T.LongType()), T.StructField("left", T.LongType())]))
+
+
+def unmet(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a pivot's members in different groups (root) that may have a similarity of `similarity`; none other can.
+
+    Two sets of sizes m and n need s / (1 + s) * (m + n) shingles in common. What they share lies in the pivot's set, of
+    which neither shares more than it has, or beside it. So either what the lesser has of the pivot is enough, or they share a
+    shingle beside the pivot's. Of two groups, one is not the pivot's own, which keeps that from being compared with itself."""
+    ratio = similarity / (1 + similarity)
+
+    def pairs(rows: DataFrame, key: list[str], reach) -> DataFrame:
+        a, b = (rows.select(*key, *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in key)) for x in "ab")
+        met = a.where(~F.col("main_a")).join(b, key).where((F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("id_a") < F.col("id_b"))))
+        return met.where(reach >= ratio * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+    of_pivot = F.least("shared_a", "shared_b")
+    within = pairs(family.where(F.col("shared") >= similarity * F.col("n") - 1e-6), ["pivot"], of_pivot)
+    beside = pairs(added(sets, family, similarity), ["pivot", "q"], of_pivot + F.least("left_a", "left_b"))
+    return within.union(beside).distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row: groups of texts whose sets of shingles of `words` words have a Jaccard similarity
-    of `similarity` or more, directly or through others.
+    """(doc_id, text_hash, component_id, stays) of each row: groups of texts whose sets of shingles of `words` words have a
+    Jaccard similarity of `similarity` or more, directly or through others. component_id is the group's smallest doc_id;
+    `stays` holds for the rows of one text of it, that of the smallest (doc_id, text_hash); text_hash is Spark's xxhash64.
 
     Texts that share a band of minima are candidates, and the similarity of sets decides. Members of a band's bucket are
-    compared with one of them, its leader, so a bucket costs a row a member however many copies it has; those that this
-    leaves in different groups are then compared with each other, so that every pair of a bucket is covered."""
+    compared with one of them, its pivot: the member that meets most others. So a bucket costs a row a member however many
+    copies it has. Members that this leaves in different groups are compared with each other where what they have
+    of the pivot and beside it doesn't rule the similarity out (`unmet`), so that every pair of a bucket is covered.
+
+    Null text is empty; all texts without words are one group. A row whose doc_id is null is in no group: its component_id is
+    null and it stays. Rows that share a doc_id are told apart by their texts."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)]
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(2)]
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             keys = np.concatenate([np.zeros(0, np.int64), *map(bands, sets)])
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "id", "ks", "hs"])
-
-    fps = written(docs.select("doc_id", F.col("text").cast("string")).transform(in_batches, run, T.StructType([T.StructField("doc_id", kind), T.StructField("id", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType())), T.StructField("hs", T.BinaryType())])), "fps")
-    members = fps.select("id", F.explode("ks").alias("k"))
-    leaders = members.groupBy("k").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
-    met = written(members.join(leaders, "k").select("k", "id", "leader").distinct(), "met")
-    sets = fps.select("id", "hs")
-    like = written(likenesses(sets, met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "like")
-    links = like.where(F.col("j") >= similarity).select("a", "b")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], out.names)
+
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("id", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType())), T.StructField("hs", T.BinaryType())])
+    text = F.col("text").cast("string")
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    fps = written(hashed.where(F.col("doc_id").isNotNull()).transform(in_batches, run, out), "fps")
+    one = written(fps.groupBy("id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("ks").alias("ks")), "one")
+    members = one.select("id", F.explode("ks").alias("k"))
+    buckets = written(members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = written(members.join(buckets, "k").select("k", "id", "n"), "met")
+    degrees = met.groupBy("id").agg(F.sum("n").alias("d"))
+    pivots = written(met.join(degrees, "id").groupBy("k").agg(F.max(F.struct("d", "id")).alias("p")).select("k", F.col("p.id").alias("pivot")), "pivots")
+    pairs = written(met.join(pivots, "k").where("id <> pivot").select("pivot", "id").distinct(), "pairs")
+    discard(buckets, met, pivots)
+    needed = pairs.select(F.explode(F.array("pivot", "id")).alias("id")).distinct().join(one, "id").select("id", "rep.doc_id", "rep.th")
+    sets = written(fps.join(needed, ["id", "doc_id", "th"], "left_semi").select("id", "hs").dropDuplicates(["id"]), "sets")
+    alike = F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9
+    like = written(overlaps(sets, pairs.toDF("a", "b")), "like")
+    links = like.where(alike).select("a", "b")
     roots = components(links)
-    # What leaders leave: members of a bucket in different groups. A pair needs no comparison if its members' distances from
-    # the leader differ by more than the distance allowed (1 - j is a metric); all other such pairs are compared.
-    of = met.join(like.select(F.col("a").alias("leader"), F.col("b").alias("id"), "j"), ["leader", "id"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    of = of.select("k", "id", "leader", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("root", "id").alias("root"))
-    mixed = of.groupBy("k").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("k")
-    rest = written(of.join(mixed, "k", "left_semi"), "rest")
-    a, b = (rest.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "leader", "j", "root"))) for x in "ab")
-    left = a.where("id_a <> leader_a").join(b, "k").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("j_a") - F.col("j_b")) <= 1 - similarity + 1e-9))
-    left = written(left.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "left")
-    if not left.isEmpty():
-        roots = components(links.union(likenesses(sets, left).where(F.col("j") >= similarity).select("a", "b")))
-    reps = fps.groupBy("id").agg(F.min("doc_id").alias("rep"))
-    of_root = roots.join(reps, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("component_id"))
-    grouped = roots.join(of_root, "root").select(F.col("node").alias("id"), "component_id")
-    by_id = written(reps.join(grouped, "id", "left").select("id", F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    return fps.select("doc_id", "id").join(by_id, "id").select("doc_id", "component_id")
+    of = like.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "shared", F.col("nb").alias("n"))
+    of = of.join(roots.toDF("id", "root"), "id", "left").join(roots.toDF("pivot", "own"), "pivot", "left")
+    of = of.withColumn("root", F.coalesce("root", "id")).withColumn("main", F.col("root") == F.coalesce("own", "pivot")).drop("own")
+    mixed = of.groupBy("pivot").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("pivot")
+    family = written(of.join(mixed, "pivot", "left_semi"), "family")
+    if not family.isEmpty():
+        left = written(unmet(sets, family, similarity), "left")
+        more = written(overlaps(sets, left).where(alike).select("a", "b"), "more")
+        if not more.isEmpty():
+            roots = components(links.union(more))
+        discard(left, more)
+    reps = one.select("id", "rep")
+    grouped = roots.join(reps.withColumnRenamed("id", "node"), "node").select("node", "root", "rep")
+    stays = grouped.groupBy("root").agg(F.min("rep").alias("first"))
+    first = written(reps.join(grouped.join(stays, "root").select(F.col("node").alias("id"), "first"), "id", "left").select("id", F.coalesce("first", "rep").alias("first")), "groups")
+    discard(one, pairs, sets, like, family)
+    found = fps.select("doc_id", "th", "id").join(first, "id").select("doc_id", F.col("th").alias("text_hash"), F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("stays"))
+    return found.unionByName(hashed.where(F.col("doc_id").isNull()).select("doc_id", F.col("th").alias("text_hash"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
