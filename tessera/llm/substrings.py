@@ -7,7 +7,8 @@ to. Neighbouring windows of one smallest hash form a cell, whose content is the
 content it has in an earlier document: their windows are all repeats, so a group of copies costs a row a task. What is left meets by
 its hash. Of each distinct content only the earliest document's cells are still open; where a hash has several contents,
 those are indexed by a suffix array, in which equal windows are neighbours, and the earliest document of each run decides.
-Contents that share with no other content of their hash the 14 bytes before or after the 22-byte part can't share a window and aren't indexed.
+Contents that share with no other content of their hash the 14 bytes before or after the 22-byte part can't share a window and aren't
+indexed: hashes of these bytes come with the cells, so that such contents aren't even fetched.
 
 Given results: null text is empty; a text under 50 bytes stays whole; rows that share a doc_id do not repeat each other, and each
 gets its row; a row with null doc_id stays whole and makes no other row's bytes go; an empty table gives no rows; other columns are ignored.
@@ -35,6 +36,8 @@ SIDE = (LENGTH - PART + 1) // 2
 BUCKET_BYTES, CELL, SEGMENT = 12 << 20, 512, 1 << 20
 #: Bytes of contents in one suffix array, about: further hashes go to the next one.
 INDEX_BYTES = 1 << 14
+#: Says of a cell that its content may have its 22-byte part more than once.
+MANY = 0xFFFF
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -55,8 +58,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def cells(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(smallest hash, content's hash, first and last window) of the cells of a text, for each segment of it."""
+def sides(x: np.ndarray, sums: np.ndarray, down: np.ndarray, least: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the SIDE bytes before and after the 22-byte part of each cell, as far as they belong to its content: 0 if
+    they do not, and MANY for both if the content may have that part more than once."""
+    width = LENGTH - PART + 1
+    left, right = np.zeros(len(start), np.uint16), np.zeros(len(start), np.uint16)
+    for at in range(0, len(start), 1 << 14):
+        a, z, m = start[at : at + (1 << 14)], end[at : at + (1 << 14)], least[at : at + (1 << 14), None]
+        head, tail = (x[w[:, None] + np.arange(width)] == m for w in (a, z))
+        place = a + head.argmax(1)
+        once = (head.sum(1) == 1) & (tail.sum(1) == 1) & (place == z + tail.argmax(1))
+        for out, first, there in ((left, place - SIDE, place - SIDE >= a), (right, place + PART, place + PART + SIDE <= z + LENGTH)):
+            first = np.where(there, first, 0)
+            h = mixed((sums[first + SIDE] - sums[first]) * down[first]) >> np.uint64(48)
+            out[at : at + (1 << 14)] = np.where(once, np.where(there, np.clip(h, 1, MANY - 1), 0), MANY)
+    return left, right
+
+
+def cells(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(smallest hash, content's hash, first and last window, sides) of the cells of a text, for each segment of it."""
     width = LENGTH - PART + 1
     for base in range(0, max(0, len(text) - LENGTH + 1), SEGMENT):
         b = np.frombuffer(text[base : base + SEGMENT + LENGTH - 1], np.uint8)
@@ -64,7 +84,7 @@ def cells(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
         up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        x = mixed((sums[PART:] - sums[:-PART]) * down[: n - PART + 1])
+        x0 = x = mixed((sums[PART:] - sums[:-PART]) * down[: n - PART + 1])
         span = 1
         while span * 2 <= width:
             x = np.minimum(x[:-span], x[span:])
@@ -80,7 +100,7 @@ def cells(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
         end = np.append(start[1:], windows) - 1
         size = end - start + LENGTH
         content = mixed((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
-        yield least[start], content, start + base, end + base
+        yield least[start], content, start + base, end + base, *sides(x0, sums, down, least[start], start, end)
 
 
 def squeezed(n: int, *arrays: np.ndarray) -> bytes:
@@ -102,9 +122,9 @@ def dealt(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 CELLS, COVERS, ASKED = 0, 1, 2
-#: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size), of that table (doc_id, text's
+#: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size, sides), of that table (doc_id, text's
 #: check), and of packed covered windows.
-CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
+CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2", "u2", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
 _PACKED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -133,23 +153,23 @@ def first_cells(docs: DataFrame, parts: int) -> DataFrame:
                     continue
                 sizes = [len(x[2]) for x in got]
                 doc, check = np.repeat(np.array([x[0] for x in got], np.int64), sizes), np.repeat(np.array([x[1] for x in got], np.int64).astype(np.uint32), sizes)
-                key, content, start, end = (np.concatenate([x[k] for x in got]) for k in (2, 3, 4, 5))
+                key, content, start, end, left, right = (np.concatenate([x[k] for x in got]) for k in range(2, 8))
                 part = (key % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((doc, content, key, part))
-                part, key, content, doc, check, start, end = (x[order] for x in (part, key, content, doc, check, start, end))
+                part, key, content, doc, check, start, end, left, right = (x[order] for x in (part, key, content, doc, check, start, end, left, right))
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
                 first = doc[new][np.cumsum(new) - 1] == doc
                 rows = list(packed_covers(doc[~first], check[~first], start[~first], end[~first], parts))
-                part, key, content, doc, check, start, end = (x[first] for x in (part, key, content, doc, check, start, end))
+                part, key, content, doc, check, start, end, left, right = (x[first] for x in (part, key, content, doc, check, start, end, left, right))
                 edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
                 for a, z in zip(edges[:-1], edges[1:], strict=True):
                     n = int(z - a)
-                    # Of the hashes 44 bits and of contents' hashes 48 are sent; bytes decide in the end where contents differ.
+                    # Of the hashes 44 bits are sent beside the part's number.
                     high = key[a:z] >> np.uint64(20)
                     pairs, place = np.unique(np.stack([doc[a:z], check[a:z].astype(np.int64)], 1), axis=0, return_inverse=True)
                     own = squeezed(len(pairs), np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype("u4"))
-                    blob = squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z] >> np.uint64(16), place.reshape(-1).astype("u4"), start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"))
+                    blob = squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z], place.reshape(-1).astype("u4"), start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"), left[a:z], right[a:z])
                     rows.append((CELLS, int(part[a]), n, struct.pack("<II", len(pairs), len(own)) + own + blob))
                 yield packed_batch(rows)
 
@@ -167,6 +187,20 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
         yield k, [r[2:] for r in own]
 
 
+def beside(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which contents (each once; key rises) may share a window with another one of their key: a window has the SIDE bytes before or
+    after the 22-byte part. Where a content may have that part more than once, all of its key may."""
+    out = np.zeros(len(key), bool)
+    out[left == MANY] = True
+    if out.any():
+        out = np.isin(key, key[out])
+    for side in (left, right):
+        there = np.flatnonzero(side)
+        _, at, n = np.unique(key[there] << 16 | side[there], return_inverse=True, return_counts=True)
+        out[there[n[at] > 1]] = True
+    return out
+
+
 _MET = T.StructType(_PACKED.fields + [T.StructField("doc_id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -182,11 +216,11 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             for n, b in blobs:
                 m, size = struct.unpack_from("<II", b)
                 ids, checks = opened(b[8 : 8 + size], m, *DOC_KINDS)
-                high, content, place, start, size = opened(b[8 + size :], n, *CELL_KINDS)
-                opening.append((np.cumsum(high), content, ids[place], checks[place], start, size))
-            key, content, doc, check, start, size = (np.concatenate(c) for c in zip(*opening, strict=True))
+                high, content, place, start, size, left, right = opened(b[8 + size :], n, *CELL_KINDS)
+                opening.append((np.cumsum(high), content, ids[place], checks[place], start, size, left, right))
+            key, content, doc, check, start, size, left, right = (np.concatenate(c) for c in zip(*opening, strict=True))
             order = np.lexsort((doc, content, key))
-            key, content, doc, check, start, size = (x[order] for x in (key, content, doc, check, start, size))
+            key, content, doc, check, start, size, left, right = (x[order] for x in (key, content, doc, check, start, size, left, right))
             end = start + size
             new_key = np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
@@ -198,7 +232,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
                 yield whole(rows)
             at, of = np.flatnonzero(new_key), np.cumsum(new_key) - 1
             several = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))
-            ask = first & several[of]
+            ask = first & several[of] & beside(of[new], left[new], right[new])[np.cumsum(new) - 1]
             n = int(ask.sum())
             if n:
                 name = (key[ask] << np.uint64(20) | np.uint64(part)).astype(np.int64)
