@@ -7,8 +7,8 @@ to. Neighbouring windows of one smallest hash form a cell, whose content is the
 content it has in an earlier document: their windows are all repeats, so a group of copies costs a row a task. What is left meets by
 its hash. Of each distinct content only the earliest document's cells are still open; where a hash has several contents,
 those are indexed by a suffix array, in which equal windows are neighbours, and the earliest document of each run decides.
-Contents that share with no other content of their hash the 14 bytes before or after the 22-byte part can't share a window and aren't
-indexed: hashes of these bytes come with the cells, so that such contents aren't even fetched.
+Of these contents the bytes are indexed that another content of the hash has next to the 22-byte part too, which no shared window exceeds;
+a content of which that leaves less than a window isn't.
 
 Given results: null text is empty; a text under 50 bytes stays whole; rows that share a doc_id do not repeat each other, and each
 gets its row; a row with null doc_id stays whole and makes no other row's bytes go; an empty table gives no rows; other columns are ignored.
@@ -17,7 +17,7 @@ gets its row; a row with null doc_id stays whole and makes no other row's bytes
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -31,13 +31,12 @@ from .common import in_batches, slices, table, written
 from .suffixarray import suffix_array
 
 LENGTH, PART = 50, 22
-SIDE = (LENGTH - PART + 1) // 2
 #: Bytes of text whose cells a task takes at once, about; windows of a cell at most; starts taken at once in a text.
-BUCKET_BYTES, CELL, SEGMENT = 12 << 20, 512, 1 << 20
+BUCKET_BYTES, CELL, SEGMENT = 8 << 20, 512, 1 << 20
 #: Bytes of contents in one suffix array, about: further hashes go to the next one.
 INDEX_BYTES = 1 << 14
-#: Says of a cell that its content may have its 22-byte part more than once.
-MANY = 0xFFFF
+#: Rows of contents that a task looks at together, about.
+BLOCK = 20_000
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -58,25 +57,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def sides(x: np.ndarray, sums: np.ndarray, down: np.ndarray, least: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the SIDE bytes before and after the 22-byte part of each cell, as far as they belong to its content: 0 if
-    they do not, and MANY for both if the content may have that part more than once."""
-    width = LENGTH - PART + 1
-    left, right = np.zeros(len(start), np.uint16), np.zeros(len(start), np.uint16)
-    for at in range(0, len(start), 1 << 14):
-        a, z, m = start[at : at + (1 << 14)], end[at : at + (1 << 14)], least[at : at + (1 << 14), None]
-        head, tail = (x[w[:, None] + np.arange(width)] == m for w in (a, z))
-        place = a + head.argmax(1)
-        once = (head.sum(1) == 1) & (tail.sum(1) == 1) & (place == z + tail.argmax(1))
-        for out, first, there in ((left, place - SIDE, place - SIDE >= a), (right, place + PART, place + PART + SIDE <= z + LENGTH)):
-            first = np.where(there, first, 0)
-            h = mixed((sums[first + SIDE] - sums[first]) * down[first]) >> np.uint64(48)
-            out[at : at + (1 << 14)] = np.where(once, np.where(there, np.clip(h, 1, MANY - 1), 0), MANY)
-    return left, right
-
-
-def cells(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(smallest hash, content's hash, first and last window, sides) of the cells of a text, for each segment of it."""
+def cells(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(smallest hash, content's hash, first and last window) of the cells of a text, for each segment of it."""
     width = LENGTH - PART + 1
     for base in range(0, max(0, len(text) - LENGTH + 1), SEGMENT):
         b = np.frombuffer(text[base : base + SEGMENT + LENGTH - 1], np.uint8)
@@ -84,7 +66,7 @@ def cells(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         up, down = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        x0 = x = mixed((sums[PART:] - sums[:-PART]) * down[: n - PART + 1])
+        x = mixed((sums[PART:] - sums[:-PART]) * down[: n - PART + 1])
         span = 1
         while span * 2 <= width:
             x = np.minimum(x[:-span], x[span:])
@@ -100,7 +82,7 @@ def cells(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         end = np.append(start[1:], windows) - 1
         size = end - start + LENGTH
         content = mixed((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
-        yield least[start], content, start + base, end + base, *sides(x0, sums, down, least[start], start, end)
+        yield least[start], content, start + base, end + base
 
 
 def squeezed(n: int, *arrays: np.ndarray) -> bytes:
@@ -122,9 +104,9 @@ def dealt(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 CELLS, COVERS, ASKED = 0, 1, 2
-#: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size, sides), of that table (doc_id, text's
+#: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size), of that table (doc_id, text's
 #: check), and of packed covered windows.
-CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2", "u2", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
+CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
 _PACKED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -153,23 +135,23 @@ def first_cells(docs: DataFrame, parts: int) -> DataFrame:
                     continue
                 sizes = [len(x[2]) for x in got]
                 doc, check = np.repeat(np.array([x[0] for x in got], np.int64), sizes), np.repeat(np.array([x[1] for x in got], np.int64).astype(np.uint32), sizes)
-                key, content, start, end, left, right = (np.concatenate([x[k] for x in got]) for k in range(2, 8))
+                key, content, start, end = (np.concatenate([x[k] for x in got]) for k in (2, 3, 4, 5))
                 part = (key % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((doc, content, key, part))
-                part, key, content, doc, check, start, end, left, right = (x[order] for x in (part, key, content, doc, check, start, end, left, right))
+                part, key, content, doc, check, start, end = (x[order] for x in (part, key, content, doc, check, start, end))
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
                 first = doc[new][np.cumsum(new) - 1] == doc
                 rows = list(packed_covers(doc[~first], check[~first], start[~first], end[~first], parts))
-                part, key, content, doc, check, start, end, left, right = (x[first] for x in (part, key, content, doc, check, start, end, left, right))
+                part, key, content, doc, check, start, end = (x[first] for x in (part, key, content, doc, check, start, end))
                 edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
                 for a, z in zip(edges[:-1], edges[1:], strict=True):
                     n = int(z - a)
-                    # Of the hashes 44 bits are sent beside the part's number.
+                    # Of the hashes 44 bits and of contents' hashes 48 are sent; bytes decide in the end where contents differ.
                     high = key[a:z] >> np.uint64(20)
                     pairs, place = np.unique(np.stack([doc[a:z], check[a:z].astype(np.int64)], 1), axis=0, return_inverse=True)
                     own = squeezed(len(pairs), np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype("u4"))
-                    blob = squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z], place.reshape(-1).astype("u4"), start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"), left[a:z], right[a:z])
+                    blob = squeezed(n, np.diff(high, prepend=np.uint64(0)), content[a:z] >> np.uint64(16), place.reshape(-1).astype("u4"), start[a:z].astype("u4"), (end[a:z] - start[a:z]).astype("u2"))
                     rows.append((CELLS, int(part[a]), n, struct.pack("<II", len(pairs), len(own)) + own + blob))
                 yield packed_batch(rows)
 
@@ -187,20 +169,6 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
         yield k, [r[2:] for r in own]
 
 
-def beside(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which contents (each once; key rises) may share a window with another one of their key: a window has the SIDE bytes before or
-    after the 22-byte part. Where a content may have that part more than once, all of its key may."""
-    out = np.zeros(len(key), bool)
-    out[left == MANY] = True
-    if out.any():
-        out = np.isin(key, key[out])
-    for side in (left, right):
-        there = np.flatnonzero(side)
-        _, at, n = np.unique(key[there] << 16 | side[there], return_inverse=True, return_counts=True)
-        out[there[n[at] > 1]] = True
-    return out
-
-
 _MET = T.StructType(_PACKED.fields + [T.StructField("doc_id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -216,11 +184,11 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             for n, b in blobs:
                 m, size = struct.unpack_from("<II", b)
                 ids, checks = opened(b[8 : 8 + size], m, *DOC_KINDS)
-                high, content, place, start, size, left, right = opened(b[8 + size :], n, *CELL_KINDS)
-                opening.append((np.cumsum(high), content, ids[place], checks[place], start, size, left, right))
-            key, content, doc, check, start, size, left, right = (np.concatenate(c) for c in zip(*opening, strict=True))
+                high, content, place, start, size = opened(b[8 + size :], n, *CELL_KINDS)
+                opening.append((np.cumsum(high), content, ids[place], checks[place], start, size))
+            key, content, doc, check, start, size = (np.concatenate(c) for c in zip(*opening, strict=True))
             order = np.lexsort((doc, content, key))
-            key, content, doc, check, start, size, left, right = (x[order] for x in (key, content, doc, check, start, size, left, right))
+            key, content, doc, check, start, size = (x[order] for x in (key, content, doc, check, start, size))
             end = start + size
             new_key = np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
@@ -232,7 +200,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
                 yield whole(rows)
             at, of = np.flatnonzero(new_key), np.cumsum(new_key) - 1
             several = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))
-            ask = first & several[of] & beside(of[new], left[new], right[new])[np.cumsum(new) - 1]
+            ask = first & several[of]
             n = int(ask.sum())
             if n:
                 name = (key[ask] << np.uint64(20) | np.uint64(part)).astype(np.int64)
@@ -246,33 +214,34 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").transform(in_batches, run, _MET)
 
 
-def repeats(groups: list[tuple[dict[bytes, int], dict[bytes, int] | None]]) -> list[np.ndarray]:
+def repeats(groups: list[tuple[list[tuple[bytes, int]], list[int] | None]]) -> list[np.ndarray]:
     """For each content of each group in turn, which of its windows start in a content with a smaller doc_id, by one suffix
-    array of all. A group is its contents (bytes: doc_id) and where their 22-byte part is: if each has it once, it is one symbol
-    of the indexed text, of the group's own; if not (no place), contents are indexed as they are. Equal windows have equal hashes, so runs never span groups."""
+    array of all. A group is its contents (bytes, doc_id) and where their 22-byte part is: if each has it once, it is one symbol
+    of the indexed text, of the group's own; if not (no places), contents are indexed as they are. Equal windows have equal hashes, so runs never span groups."""
     text: list[int] = []
     owner: list[int] = []
     left: list[int] = []
-    docs, starts, out = [], [], []
+    docs, starts, span, out = [], [], [], []
     for g, (contents, places) in enumerate(groups):
-        for b, doc in contents.items():
-            k = len(docs)
-            docs.append(doc)
-            starts.append(len(text))
+        for k, (b, doc) in enumerate(contents):
+            at = len(text)
+            windows = len(b) - LENGTH + 1
             if places is None:
                 text += b
-                n, windows = len(b), len(b) - LENGTH + 1
+                span.append(LENGTH)
             else:
-                i = places[b]
+                i = places[k]
                 text += b[:i]
                 text.append(257 + g)
                 text += b[i + PART :]
-                n, windows = len(b) - PART + 1, len(b) - LENGTH + 1
+                span.append(LENGTH - PART + 1)
             text.append(256)  # ends contents: no window crosses it
-            owner += [k] * (n + 1)
-            left += [1] * windows + [0] * (n + 1 - windows)
+            n = len(text) - at
+            owner += [len(docs)] * n
+            left += [1] * windows + [0] * (n - windows)
+            docs.append(doc)
+            starts.append(at)
             out.append(np.zeros(windows, bool))
-    span = {k: LENGTH if places is None else LENGTH - PART + 1 for k, places in enumerate(p for c, p in groups for _ in c)}
     run: list[int] = []
     window: list[int] = []
 
@@ -298,38 +267,61 @@ def repeats(groups: list[tuple[dict[bytes, int], dict[bytes, int] | None]]) -> l
     return out
 
 
-def places_of(contents: Iterable[bytes]) -> dict[bytes, list[int]]:
-    """Where the 22-byte part with the smallest hash starts in each content."""
-    out: dict[bytes, list[int]] = {}
-    part = None
-    for b in contents:
-        i = b.find(part) if part is not None else -1
-        if i < 0:
-            out[b] = anchors(b)
-            part = b[out[b][0] : out[b][0] + PART]
-            continue
-        own = []
-        while i >= 0:
-            own.append(i)
-            i = b.find(part, i + 1)
-        out[b] = own
+def shared_sides(key: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many first bytes of its row of `side` (of which `size` count) each content shares with the likeliest other one of its key."""
+    n, width = side.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = side
+    order = np.lexsort((*wide.view(">u8").T[::-1], key))
+    side, size, key = side[order], size[order], key[order]
+    same = np.minimum(np.where((differs := side[1:] != side[:-1]).any(1), differs.argmax(1), width), np.minimum(size[1:], size[:-1]))
+    same[key[1:] != key[:-1]] = 0
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(np.append(same, 0), np.insert(same, 0, 0))
     return out
 
 
-def worth(contents: dict[bytes, int], places: dict[bytes, list[int]]) -> dict[bytes, int]:
-    """Those contents that share the bytes around their 22-byte part with another one, on one side of it at least."""
-    sides: dict[tuple, int] = {}
-    of: dict[bytes, set[tuple]] = {}
-    for b in contents:
-        own = of[b] = set()
-        for i in places[b]:
-            if i >= SIDE:
-                own.add((0, b[i - SIDE : i]))
-            if len(b) >= i + PART + SIDE:
-                own.add((1, b[i + PART : i + PART + SIDE]))
-        for x in own:
-            sides[x] = sides.get(x, 0) + 1
-    return {b: d for b, d in contents.items() if any(sides[x] > 1 for x in of[b])}
+def reaches(key: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each content of a key (equal keys are neighbours): where its 22-byte part starts, whether each content of the key has it once,
+    and how many bytes before and after it another content of the key has too, if so."""
+    n = np.fromiter(map(len, contents), np.int64, len(contents))
+    first = np.cumsum(n) - n
+    b = np.frombuffer(b"".join(contents), np.uint8)
+    up, down = powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    x = np.append(mixed((sums[PART:] - sums[:-PART]) * down[: len(b) - PART + 1]), np.zeros(PART - 1, np.uint64))
+    least = np.minimum.reduceat(x, np.stack([first, first + n - PART + 1], 1).ravel()[: 2 * len(n)])[::2]
+    owner = np.repeat(np.arange(len(n)), n)
+    hit = np.flatnonzero((x == least[owner]) & (np.arange(len(b)) <= (first + n - PART)[owner]))
+    of, at, times = np.unique(owner[hit], return_index=True, return_counts=True)
+    place = hit[at] - first
+    new = np.append(True, key[1:] != key[:-1])
+    once = np.minimum.reduceat(times == 1, np.flatnonzero(new))[np.cumsum(new) - 1]
+    width = LENGTH - PART
+    before, after = np.minimum(place, width), np.minimum(n - place - PART, width)
+    steps, padded = np.arange(width), np.append(b, np.zeros(width, np.uint8))
+    left = padded[np.maximum((first + place)[:, None] - 1 - steps, 0)] * (steps < before[:, None])
+    right = padded[np.minimum((first + place)[:, None] + PART + steps, len(b))] * (steps < after[:, None])
+    return place, once, shared_sides(key, left, before), shared_sides(key, right, after)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches that come sorted by key, as tables of at least BLOCK rows (but the last) that don't cut a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column("key")
+        if sum(b.num_rows for b in held) >= BLOCK:
+            # What has the last key so far is held back.
+            last = held[-1].column("key")[-1]
+            at = int(np.searchsorted(key.to_numpy(), last.as_py(), "right"))
+            if at < batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks()
+                held, batch = [], batch.slice(at)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
@@ -346,42 +338,42 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     got = both.transform(in_batches, fetch, "key bigint, doc_id bigint, check bigint, start int, content binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
         found: list[tuple[int, int, int, int]] = []
-        held: list[tuple[dict[bytes, int], dict[bytes, int] | None, list[tuple]]] = []
+        held: list[tuple[list[tuple[bytes, int]], list[int] | None, list[tuple]]] = []
         size = 0
 
         def index() -> None:
             # Contents of several hashes share an index; equal windows have equal hashes, so runs never mix them.
             masks = iter(repeats([(contents, places) for contents, places, _ in held]))
-            for contents, _, own in held:
-                settle(own, {b: next(masks) for b in contents})
-
-        def settle(own: list[tuple], masks: dict[bytes, np.ndarray]) -> None:
-            for _, doc, check, start, content in own:
-                m = masks.get(content)
-                if m is not None and m.any():
-                    edge = np.flatnonzero(np.diff(m.astype(np.int8), prepend=0, append=0))
-                    found.extend((doc, check, start + int(a), start + int(z) - 1) for a, z in zip(edge[::2], edge[1::2], strict=True))
-
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            own = list(group)
-            contents: dict[bytes, int] = {}
-            for _, doc, _, _, b in own:
-                contents[b] = min(doc, contents.get(b, doc))
-            places = places_of(contents)
-            contents = worth(contents, places)
-            if len(contents) < 2 or len(set(contents.values())) < 2:
-                continue
-            once = len({b[places[b][0] : places[b][0] + PART] for b in contents}) == 1 and all(len(places[b]) == 1 for b in contents)
-            held.append((contents, {b: places[b][0] for b in contents} if once else None, own))
-            size += sum(map(len, contents))
-            if size >= INDEX_BYTES:
-                index()
-                held, size = [], 0
+            for contents, _, cells in held:
+                for own in cells:
+                    m = next(masks)
+                    if m.any():
+                        edge = np.flatnonzero(np.diff(m.astype(np.int8), prepend=0, append=0)).tolist()
+                        found.extend((doc, check, start + a, start + z - 1) for doc, check, start in own for a, z in zip(edge[::2], edge[1::2], strict=True))
+
+        for block in whole_keys(batches):
+            key = block.column("key").to_numpy()
+            place, once, before, after = reaches(key, block.column("content").to_pylist())
+            keep = np.flatnonzero(~once | (before + after >= LENGTH - PART))
+            rows = zip(*(c.to_pylist() for c in block.take(pa.array(keep)).columns), *(x[keep].tolist() for x in (place, once, before, after)), strict=True)
+            for _, group in groupby(rows, key=lambda r: r[0]):
+                # Each distinct content once: its bytes that others may share, its smallest document, and where it is.
+                contents: dict[bytes, tuple[bytes, int, int, list[tuple]]] = {}
+                for _, doc, check, start, b, p, one, l, r in group:
+                    skip = p - l if one else 0
+                    part = b[skip : p + PART + r] if one else b
+                    had = contents.setdefault(b, (part, l if one else -1, [], []))
+                    had[2].append(doc)
+                    had[3].append((doc, check, start + skip))
+                if len(contents) < 2 or len({min(x[2]) for x in contents.values()}) < 2:
+                    continue
+                places = [x[1] for x in contents.values()]
+                held.append(([(x[0], min(x[2])) for x in contents.values()], None if places[0] < 0 else places, [x[3] for x in contents.values()]))
+                size += sum(len(x[0]) for x in contents.values())
+                if size >= INDEX_BYTES:
+                    index()
+                    held, size = [], 0
             if len(found) > 50_000:
                 yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
                 found.clear()
@@ -393,16 +385,6 @@ def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     return got.repartition(parts, "key").sortWithinPartitions("key").transform(in_batches, run, _PACKED)
 
 
-def anchors(content: bytes) -> list[int]:
-    """Where the 22-byte parts with the smallest hash start."""
-    b = np.frombuffer(content, np.uint8).astype(np.uint64) + np.uint64(1)
-    up, down = powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b * up, out=sums[1:])
-    x = mixed((sums[PART:] - sums[:-PART]) * down[: len(b) - PART + 1])
-    return np.flatnonzero(x == x.min()).tolist()
-
-
 def removed(covers: DataFrame, parts: int) -> DataFrame:
     """(doc_id, check, spans): the bytes that go, as pairs of int64 (start, end), of each document that loses some."""
 
