@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,28 +139,34 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.transform(in_batches, run, "a bigint, b bigint, shared bigint, na bigint, nb bigint")
 
 
-def added(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
-    """`family` with a row for each shingle q among the first that a member has beside its pivot's, and how many such the member
-    has from there on (`left`). Two members of a similarity of `similarity` that share any shingle beside the pivot's
-    share one of these: the prefix filter, by the order of hashes."""
-    both = family.join(sets.select("id", "hs"), "id").join(sets.toDF("pivot", "hp"), "pivot")
-    names = [c for c in family.columns]
+def added(sets: DataFrame, family: DataFrame) -> DataFrame:
+    """(pivot, id, q): the shingles q that each member has beside its pivot's."""
+    both = family.select("pivot", "id").join(sets.select("id", "hs"), "id").join(sets.toDF("pivot", "hp"), "pivot").select("pivot", "id", "hs", "hp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, qs, left = [], [], []
-            for i, (x, p) in enumerate(zip(batch.column("hs"), batch.column("hp"), strict=True)):
-                x = np.frombuffer(x.as_buffer(), np.uint32)
-                own = np.setdiff1d(x, np.frombuffer(p.as_buffer(), np.uint32), assume_unique=True)
-                first = own[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-                of.append(np.full(len(first), i, np.int32))
-                qs.append(first)
-                left.append(len(own) - np.arange(len(first)))
-            of = pa.array(np.concatenate([np.zeros(0, np.int32), *of]))
-            more = [pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int64)) for x in (qs, left)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in names), *more], [*names, "q", "left"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(p.as_buffer(), np.uint32), assume_unique=True) for x, p in zip(part.column(2), part.column(3), strict=True)]
+                of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(own).astype(np.int64))], ["pivot", "id", "q"])
 
-    return both.select(*names, "hs", "hp").transform(in_batches, run, T.StructType([*family.schema.fields, T.StructField("q", T.LongType()), T.StructField("left", T.LongType())]))
+    return both.transform(in_batches, run, "pivot bigint, id bigint, q bigint")
+
+
+def firsts(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
+    """`family` with a row for each shingle q that a member has beside its pivot's and that may be the first which it shares with a
+    member of a similarity of `similarity`, the rarest of the pivot's members coming first; `left` is how many more such there are, itself counted.
+
+    A member lacks ceil(similarity * n) - shared shingles at least to be that similar to any other. So many must be shared beside
+    the pivot's, so the last so many but one can't be the first."""
+    own = written(added(sets, family), "own")
+    common = own.groupBy("pivot", "q").agg(F.count("*").alias("f")).where("f > 1")
+    each = Window.partitionBy("pivot", "id")
+    ranked = own.join(common, ["pivot", "q"]).withColumns({"k": F.row_number().over(each.orderBy("f", "q")), "m": F.count("*").over(each)})
+    lacks = F.greatest(F.ceil(F.lit(similarity) * F.col("n") - 1e-9) - F.col("shared"), F.lit(1))
+    ranked = ranked.select("pivot", "id", "q", "k", (F.col("m") - F.col("k") + 1).alias("left"))
+    return written(ranked.join(family, ["pivot", "id"]).where(F.col("left") >= lacks).select(*family.columns, "q", "left"), "firsts")
 
 
 def unmet(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
@@ -178,7 +184,7 @@ def unmet(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
 
     of_pivot = F.least("shared_a", "shared_b")
     within = pairs(family.where(F.col("shared") >= similarity * F.col("n") - 1e-6), ["pivot"], of_pivot)
-    beside = pairs(added(sets, family, similarity), ["pivot", "q"], of_pivot + F.least("left_a", "left_b"))
+    beside = pairs(firsts(sets, family, similarity), ["pivot", "q"], of_pivot + F.least("left_a", "left_b"))
     return within.union(beside).distinct()
 
 
