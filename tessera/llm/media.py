@@ -1,7 +1,8 @@
 """Media columns: archives of media members, read by a custom Spark data source.
 
 The writer stores a member for each row in ZIP archives (stored, so a member's bytes lie whole at an offset), an archive a
-task, and lists in a manifest those of the tasks that succeeded, so retried tasks leave nothing twice. The reader plans
+task, and lists in a manifest of the job those of the tasks that succeeded, so retried tasks leave nothing twice; the next job
+adds its own, or, overwriting, takes the place of those before. The reader plans
 ranges of bytes over the archives of a directory; a task reads its archive's directory, takes the members that start in
 its range, and streams them in Arrow batches of bounded size. A member whose read or checksum fails is read again on its
 own, by its offset; one that keeps failing ends the task, or, on request, gives null media.
@@ -9,7 +10,8 @@ own, by its offset; one that keeps failing ends the task, or, on request, gives
 A text becomes a lossless 8-bit grey PNG: its bytes, filled up with 255 (which UTF-8 never has) to rows of 576 samples.
 
 Given results: null text is empty, and empty text one row of 255; null doc_id stays null; repeated rows each get a member; an empty
-table makes no archive and gives no rows; other columns are ignored. The directory may be at any place that
+table makes no archive and gives no rows; other columns are ignored. doc_id is of a whole number's type. A member is one image, however
+long its text: a text is held whole by its task, others are not held beside it (slices of 2 MB of text). The directory may be at any place that
 pyarrow's file systems open (file, hdfs, s3, gs).
 """
 
@@ -37,7 +39,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import in_batches, shared_dir, slices, table
 
 FORMAT = "tessera_media"
-MANIFEST = "_manifest.json"
+#: A manifest of each job lists its archives: _manifest-<id>.json.
+MANIFEST = "_manifest-"
 ROW = 576
 #: Bytes of an archive that a task reads, and of media in an Arrow batch, about; reads of a member before it counts as failed.
 RANGE_BYTES, BATCH_BYTES, TRIES = 16 << 20, 4 << 20, 3
@@ -106,9 +109,22 @@ class Written(WriterCommitMessage):
     size: int
 
 
+def manifests(store: fs.FileSystem, root: str) -> list[str]:
+    """The manifests in a directory."""
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith(MANIFEST))
+
+
+def archives(store: fs.FileSystem, manifest: str) -> list[tuple[str, int]]:
+    """(name, bytes) of each archive of a manifest."""
+    with store.open_input_file(manifest) as f:
+        return [(name, size) for name, size in json.loads(f.read())]
+
+
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Appends a job's archives and its manifest to a directory; an overwriting job then deletes those that were there before."""
+
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -131,8 +147,14 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        before = manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([[m.archive, m.size] for m in messages if m and m.archive]).encode())
+        for manifest in before:
+            names = [name for name, _ in archives(store, manifest)]
+            store.delete_file(manifest)
+            for name in names:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -185,6 +207,19 @@ def read_member(store: fs.FileSystem, path: str, offset: int, size: int, crc: in
     raise MemberError(f"{path} at {offset}: {why}")
 
 
+def directory(store: fs.FileSystem, path: str, tries: int = TRIES, wait: float = 0.2) -> list[tuple[str, int, int, int]]:
+    """(name, offset, bytes, checksum) of an archive's members, by offset; the file is opened anew for each try."""
+    why: Exception | None = None
+    for k in range(tries):
+        try:
+            with store.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+                return sorted(((m.filename, m.header_offset, m.file_size, m.CRC) for m in archive.infolist()), key=lambda m: m[1])
+        except (OSError, zipfile.BadZipFile) as e:
+            why = e
+            time.sleep(wait * k)
+    raise MemberError(f"{path}: its directory can't be read: {why}")
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, options: dict):
         self.path = path
@@ -193,20 +228,19 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(f"{root}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        found = manifests(store, root)
+        if not found:
+            raise FileNotFoundError(f"no manifest under {self.path}")
         # An archive's size is enough for its ranges: directories are read by the tasks.
-        return [Range(name, a, a + self.range) for name, size in archives for a in range(0, size, self.range)] or [Range("", 0, 0)]
+        return [Range(name, a, a + self.range) for m in found for name, size in archives(store, m) for a in range(0, size, self.range)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
         store, root = fs.FileSystem.from_uri(self.path)
         path = f"{root}/{partition.archive}"
+        own = [m for m in directory(store, path) if partition.start <= m[1] < partition.end]
         with store.open_input_file(path) as f:
-            with zipfile.ZipFile(f) as archive:
-                own = [(m.filename, m.header_offset, m.file_size, m.CRC) for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
-            own.sort(key=lambda m: m[1])
             rows: list[tuple] = []
             held = 0
             for name, offset, size, crc in own:
@@ -254,7 +288,7 @@ class MediaSource(DataSource):
         return ArchiveReader(self.options["path"], {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def write_media(docs: DataFrame, path: str) -> None:
