@@ -36,18 +36,27 @@ PAGES, STEPS, SEED = 800, 200, 7
 #: Elements by kind (fixed values of HTML).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace semantics".split())
-SILENT = "script|style|noscript|template|svg|textarea|select|button|title|iframe|object|canvas|audio|video"
+#: Elements that hold no markup, to the page's end if they have none, and others without text, if they have an end.
+RAW = "script|style|noscript|textarea|title|iframe"
+SILENT = set("template svg select button object canvas audio video".split())
+#: Elements inside each other that count, as many as in browsers.
+DEPTH = 512
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 SECTIONS = {"article", "aside", "footer", "form", "header", "main", "nav"}
 SCOPES = {"article", "aside", "blockquote", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "li", "ul", "ol", "figure", "fieldset", "details"}
 
+#: Within a tag; a quote that nothing closes is a character like others.
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^>\"']|\"(?![^\"]*\")|'(?![^']*'))*"
+#: Up to a page's last '>' each of these matches where it starts, so that a page is scanned once.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|</?head(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>"
-    rf"|<(?P<silent>{SILENT})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=silent)\s*>|.*\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|</[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|</[^>]*>",
     re.S | re.I,
 )
-ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
+CLOSED = re.compile(r"</[a-z]+\s*>\Z", re.I)
+OPEN = re.compile(r"<[a-zA-Z/!?]")
+ATTR = re.compile(r"(?<![\w:-])([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -79,23 +88,23 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = links = 0
+    linked, links, spoken = 0, 0, False
     path: list[tuple[str, tuple[str, ...]]] = []
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, spoken
         text = " ".join("".join(parts).split())
         if text:
             blocks.append(Block(text, linked, path))
-        parts, linked = [], 0
+        parts, linked, spoken = [], 0, False
 
     def say(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, path, spoken
         if not raw:
             return
         raw = html.unescape(raw)
-        if not parts or not any(p.strip() for p in parts):
-            path = list(stack)
+        if not spoken and raw.strip():
+            path, spoken = list(stack), True
         parts.append(raw)
         if links:
             linked += len(raw.strip())
@@ -106,14 +115,30 @@ def leaf_blocks(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[k:]
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, stop, deeper = 0, page.rfind(">") + 1, 0
+    no_end: set[str] = set()
+    while m := TOKEN.search(page, at, stop):
         say(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
+            if at == stop and (m["raw"] and not CLOSED.search(m[0]) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+                at = len(page)
             continue
         tag = tag.lower()
+        if tag == "head":
+            continue
+        if tag in SILENT and not m["end"] and tag not in no_end and not (tag == "svg" and m["attrs"].endswith("/")):
+            end = END[tag].search(page, at, stop)
+            if end:
+                at = end.end()
+                continue
+            no_end.add(tag)
+        if deeper and tag not in VOID:
+            if tag not in INLINE:
+                flush()
+            deeper += -1 if m["end"] else not m["attrs"].endswith("/")
+            continue
         if m["end"]:
             if tag not in INLINE:
                 flush()
@@ -142,9 +167,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[k][0] in CLOSES.get(tag, SCOPES):
                     break
         if tag not in VOID and not m["attrs"].endswith("/"):
+            if len(stack) == DEPTH:
+                deeper = 1
+                continue
             stack.append((tag, names_of(m["attrs"])))
             links += tag == "a"
-    say(page[at:])
+    # After the last '>', a tag or comment that has no end is dropped.
+    cut = OPEN.search(page, max(at, stop))
+    say(page[at : cut.start() if cut else None])
     flush()
     return blocks
 
