@@ -158,7 +158,9 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).transform(in_batches, units, unit)
     rows = written(rows, "lines")
     key = ["h1", "h2", "k"]
-    first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "at", "u", "n", "fill")).alias("p"), F.max("doc_id").alias("last")).where(F.col("p.doc_id") != F.col("last")).drop("last")
+    first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "at", "u", "n", "fill")).alias("p"), F.max("doc_id").alias("last"))
+    # Written, so that a line that very many documents hold can be split where it is joined: Spark splits what comes from a plain shuffle.
+    first = written(first.where(F.col("p.doc_id") != F.col("last")).drop("last"), "first")
     met = rows.join(first, key).where(F.col("doc_id") > F.col("p.doc_id"))
     cut = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))), T.StructField("left", T.ArrayType(T.IntegerType()))])
 
@@ -213,15 +215,17 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the aligned lines taken out of text, and the columns n_lines and n_removed (lines)."""
-    cut = written(blocks(docs, min_chars).toDF("__id", "__th", "__blocks"), "blocks")
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.join(cut, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not exists(__blocks, b -> i between b.s and b.e)), '\\n')")
+    """docs with the aligned lines taken out of text, and the columns n_lines and n_removed (lines), which take the place of columns of these names."""
+    cut = written(blocks(docs, min_chars).toDF("id", "th", "blocks"), "blocks")
+    # The row is one column until the end, so that no other column's name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    both = rows.join(cut, ["id", "th"], "left")
+    text = F.col("row.text")
+    kept = F.expr("array_join(filter(split(row.text, '\\n', -1), (x, i) -> not exists(blocks, b -> i between b.s and b.e)), '\\n')")
     return both.select(
-        *(F.when(F.col("__blocks").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in columns),
-        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("__blocks", F.lit(0), lambda a, b: a + b["e"] - b["s"] + 1), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col("blocks").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.aggregate("blocks", F.lit(0), lambda a, b: a + b["e"] - b["s"] + 1), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -378,6 +379,83 @@ def test_pages(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[3]["n_chars"] == 0
 
 
+def blocks_of(page):
+    return [b.text for b in htmltext.leaf_blocks(page)]
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<head><title>x</title><meta charset=utf-8><body><article>Hi <b>you</b>", ["Hi you"]),
+        ("<button>x<p>rest", ["x", "rest"]),
+        ("a<svg/>b<p>c", ["a", "b", "c"]),
+        ("<svg><text>n</text></svg>y", ["y"]),
+        ('<p class="x>Text</p> more', ["Text", "more"]),
+        ("<p>one<!-- x", ["one"]),
+        ("<p>x</p><script>bad", ["x"]),
+        ("<p>a < b</p>1 <2 <b", ["a < b", "1 <2"]),
+        ("<title>unclosed", []),
+    ],
+)
+def test_broken_markup(page, blocks):
+    assert blocks_of(page) == blocks
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<!", "</", "<button>", "<p></b>", "<script ", "<!--", " <b> ", "<x='>\"", "hidden", "<p a=", "<div>x"])
+def test_hostile_pages_take_time_in_proportion(part):
+    began = time.process_time()
+    blocks_of("<p " + "hidden" * 150_000 + ">x" if part == "hidden" else part * (1_000_000 // len(part) if part not in ("<div>x", "<x='>\"") else 20_000))
+    assert time.process_time() - began < 20
+
+
+def test_pages_without_rows_and_repeated_pages(spark):
+    model = htmltext.trained(60, 20)
+    df = spark.createDataFrame([(1, "u", "<article><p>" + "word, " * 400_000 + "end.</p></article>")] * 2, "page_id long, url string, html string")
+    rows = htmltext.extracted(df, model).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0]["n_chars"] in (0, 2_400_004 - 1)
+    assert htmltext.extracted(df.limit(0), model).count() == 0
+
+
+def test_lines_beside_columns_of_any_name(spark):
+    line = "A line that is long enough to count."
+    df = spark.createDataFrame([(1, line, "a", "b", "c", "d", 7), (2, line + "\nAnother line, of the second one only.", "a", "b", "c", "d", 7)], "doc_id long, text string, id string, th string, blocks string, row string, n_lines int")
+    got = {x["doc_id"]: x for x in linededup.dedup_lines(df).collect()}
+    assert got[2]["text"] == "Another line, of the second one only." and got[2]["n_removed"] == 1 and got[2]["n_lines"] == 2
+    assert [got[1][c] for c in ("id", "th", "blocks", "row")] == ["a", "b", "c", "d"]
+
+
+def test_media_are_appended_and_overwritten(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    media.write_media(frame(spark, ["one", "two"]), path)
+    media.write_media(frame(spark, ["three", None, "five"]), path)
+    assert media.read_media(spark, path).count() == 5
+    media.read_media(spark, path).where("doc_id = 0").select("doc_id", "media").limit(1).write.format(media.FORMAT).mode("overwrite").save(f"{path}2")
+    rows = spark.createDataFrame([(9, media.to_png(media.padded(b"x")))], "doc_id long, media binary")
+    rows.write.format(media.FORMAT).mode("overwrite").save(path)
+    assert [x["doc_id"] for x in media.read_media(spark, path).collect()] == [9] and len(list((tmp_path / "m").glob("*.zip"))) == 1
+
+
+def test_an_archives_directory_is_read_again(tmp_path):
+    import zipfile
+
+    from pyarrow import fs
+
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(zipfile.ZipInfo("0_5.png"), b"payload")
+
+    class Flaky:
+        tries = 0
+
+        def open_input_file(self, p):
+            Flaky.tries += 1
+            if Flaky.tries < 3:
+                raise OSError("lost")
+            return fs.LocalFileSystem().open_input_file(p)
+
+    assert [m[:2] for m in media.directory(Flaky(), str(path), wait=0)] == [("0_5.png", 0)] and Flaky.tries == 3
+
+
 def test_empty_tables(spark):
     df = frame(spark, [])
     file = packing.tokenizer_file()
