@@ -6,17 +6,22 @@ key determines. A surrogate has the form of what it stands for: the same length
 the same case, script and kind (vowel, consonant) for letters. A name keeps its title and its last letter, which carry
 its gender, and a listed given name becomes another of the same gender and script; an IPv4 address stays one; a card
 number keeps its first digit and whether its check digit is right; an e-mail address keeps its top-level domain, and
-equal domains stay equal.
+equal domains stay equal. A number is a card's only if its check digit is right.
 
 Forms are kept by a Feistel network over the text's characters, so within a form different texts get different surrogates.
 What networks can't rule out is checked: all distinct entities are gathered in a table (never at the driver), and one whose surrogate is
 another's surrogate, is itself or any text's real entity of the type is drawn anew, until none is. The mapping
 is a function of the entity over all documents, so mentions of one entity stay mentions of one.
 
-The plan's text holds a sub-key made from the key by SHA-256, never the key.
+A name found after a title is also replaced where it stands without one in the same text, by the same surrogate (n_entities counts
+those with a title). E-mail addresses that differ in case only get surrogates that do so too; telephone numbers of equal digits after
+the country's code or trunk 0 get equal digits, whatever stands between them.
+
+The key is in no plan's text and no event log: it comes as a table of one row.
 
 Given results: null text stays null; a text without entities stays as it is, byte for byte; a repeated row is treated as its
-copy; doc_id isn't used; an empty table gives no rows; other columns stay (n_entities is set anew).
+copy; doc_id isn't used; an empty table gives no rows; other columns stay, whatever their names (n_entities is set anew). Texts are whole,
+however long. Ties: of entities with one surrogate the first draw, then the first entity in order, keeps it.
 """
 
 from __future__ import annotations
@@ -77,12 +82,12 @@ def shifted(part: str, h: str, alphabets: list[str]) -> str:
     return f"array_join(transform(split({part}, ''), (c, i) -> case when c = '' then '' {cases} else c end), '')"
 
 
-def permuted(text: str, tweak: str, key: str, alphabets: list[str]) -> str:
+def permuted(text: str, tweak: str, alphabets: list[str]) -> str:
     """SQL: `text` by a four-round Feistel network over its characters; each keeps its alphabet. Texts of one form and one
-    tweak get different results."""
+    tweak get different results. The key is the column `subkey`."""
     return (
         f"aggregate(sequence(0, 3), struct(substr({text}, 1, length({text}) div 2) as l, substr({text}, length({text}) div 2 + 1) as r), "
-        f"(a, j) -> struct(a.r as l, {shifted('a.l', f'sha2(concat({quoted(key)}, {tweak}, j, a.r), 256)', alphabets)} as r), a -> concat(a.l, a.r))"
+        f"(a, j) -> struct(a.r as l, {shifted('a.l', f'sha2(concat(subkey, {tweak}, j, a.r), 256)', alphabets)} as r), a -> concat(a.l, a.r))"
     )
 
 
@@ -105,15 +110,26 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def surrogate(e: str, kind: str, draw: str, subkey: str) -> str:
-    """SQL: the surrogate of entity `e` of type `kind` at a draw (0, 1, ...)."""
+def recased(new: str, old: str) -> str:
+    """SQL: `new`, of lower case, with the letters in upper case that are in `old`."""
+    return f"array_join(zip_with(split({new}, ''), split({old}, ''), (a, b) -> if(b <> lower(b), upper(a), a)), '')"
+
+
+def real(e: str) -> str:
+    """SQL: whether what a pattern matches is an entity: a card number has its check digit right."""
+    d = "regexp_replace({0}, '[^0-9]', '')".format(e)
+    return f"(not {e} rlike {quoted('^(?:' + PATTERNS['card'] + ')$')} or {luhn(f'substr({d}, 1, length({d}) - 1)')} = cast(right({d}, 1) as int))"
+
+
+def surrogate(e: str, kind: str, draw: str) -> str:
+    """SQL: the surrogate of entity `e` of type `kind` at a draw (0, 1, ...), by the key in column `subkey`."""
 
     def perm(text: str, what: str, alphabets: list[str], more: str = "''") -> str:
-        return permuted(text, f"concat({quoted(what)}, {draw}, {more})", subkey, alphabets)
+        return permuted(text, f"concat({quoted(what)}, {draw}, {more})", alphabets)
 
     given = " ".join(
         f"when array_contains(array({', '.join(map(quoted, names))}), w) then element_at(array({', '.join(map(quoted, names))}), "
-        f"cast((array_position(array({', '.join(map(quoted, names))}), w) + conv(substr(sha2(concat({quoted(subkey)}, '{g}', {draw}), 256), 1, 6), 16, 10) % {len(names) - 1}) % {len(names)} as int) + 1)"
+        f"cast((array_position(array({', '.join(map(quoted, names))}), w) + conv(substr(sha2(concat(subkey, '{g}', {draw}), 256), 1, 6), 16, 10) % {len(names) - 1}) % {len(names)} as int) + 1)"
         for g, names in GIVEN.items()
     )
     kept = "greatest(length(w) - 1, 1)"
@@ -121,7 +137,7 @@ def surrogate(e: str, kind: str, draw: str, subkey: str) -> str:
         f"concat(regexp_extract(e, {quoted('^' + TITLES + r'\.?[  ]')}, 0), array_join(transform(split(regexp_replace(e, {quoted('^' + TITLES + r'\.?[  ]')}, ''), ' '), "
         f"w -> case {given} else concat({perm(f'substr(w, 1, {kept})', 'name', ALPHABETS)}, substr(w, {kept} + 1)) end), ' '))"
     )
-    ip_half = f"cast(conv(substr(sha2(concat({quoted(subkey)}, 'ip', {draw}, j, a.r), 256), 1, 4), 16, 10) as bigint)"
+    ip_half = f"cast(conv(substr(sha2(concat(subkey, 'ip', {draw}, j, a.r), 256), 1, 4), 16, 10) as bigint)"
     ip = (
         "aggregate(sequence(0, 3), struct(o[0] * 256 + o[1] as l, o[2] * 256 + o[3] as r), "
         f"(a, j) -> struct(a.r as l, a.l ^ {ip_half} as r), a -> concat_ws('.', a.l div 256, a.l % 256, a.r div 256, a.r % 256))"
@@ -129,18 +145,24 @@ def surrogate(e: str, kind: str, draw: str, subkey: str) -> str:
     body = f"substr(d, 1, 1) || {perm('substr(d, 2, length(d) - 2)', 'card', LETTERS[:1], 'length(d)')}"
     check = f"(cast(substr(d, length(d), 1) as int) - {luhn('substr(d, 1, length(d) - 1)')} + 10 + {luhn('b')}) % 10"
     card = let("regexp_replace(e, '[^0-9]', '')", "d", let(body, "b", laid_over(f"concat(b, {check})", "e")))
-    # The digits after the country's code change; the first of a group that can't be 0 or 1 stays over 1.
+    # The digits after the country's code or trunk 0 change, whatever stands between them; the first one stays one that can begin a number or not.
+    lead = f"concat({shifted('left(d, 1)', f"sha2(concat(subkey, 'lead', {draw}, r), 256)", ['01', '23456789'])}, r)"
     phone = let(
-        "regexp_extract(e, '^(?:\\\\+\\\\d{1,3}(?=[ .(-])|\\\\+\\\\d{2}|0)?', 0)", "cc",
-        f"concat(cc, array_join(transform(split(regexp_replace({perm('substr(e, length(cc) + 1)', 'phone', LETTERS[:1], 'cc')}, '(?<=\\\\()[01]|(?<=\\\\) )[01]', '#'), ''), c -> case when c = '#' then '7' else c end), ''))",
+        f"regexp_extract(e, {quoted(r'^(?:\+\d{1,3}(?=[ .(-])|\+\d{2}|0)?')}, 0)", "cc",
+        let("regexp_replace(substr(e, length(cc) + 1), '[^0-9]', '')", "d", let(perm("substr(d, 2)", "phone", LETTERS[:1]), "r", f"concat(cc, {laid_over(lead, 'substr(e, length(cc) + 1)')})")),
     )
+    # Addresses that differ in case only are one.
     local, host = "substring_index(e, '@', 1)", "substring_index(e, '@', -1)"
     top = "substring_index(h, '.', -1)"
-    email = let(host, "h", f"concat({perm(local, 'mail', ALPHABETS, 'h')}, '@', {perm(f'substr(h, 1, length(h) - length({top}) - 1)', 'host', ALPHABETS, top)}, '.', {top})")
+    label = f"substr(h, 1, length(h) - length({top}) - 1)"
+    email = let(
+        host, "h",
+        f"concat({recased(perm(f'lower({local})', 'mail', ALPHABETS, 'lower(h)'), local)}, '@', {recased(perm(f'lower({label})', 'host', ALPHABETS, f'lower({top})'), label)}, '.', {top})",
+    )
     secret = f"case when e rlike '^[0-9a-f]+$' then {perm('e', 'hex', HEX)} else concat(substr(e, 1, 4), {perm('substr(e, 5)', 'key', LETTERS)}) end"
     iban = f"concat(substr(e, 1, 2), {perm('substr(e, 3)', 'iban', LETTERS)})"
     # When draws don't help (an alphabet that isn't known, a form with few members): a tag from a hash.
-    last = f"concat({kind}, '-', substr(sha2(concat({quoted(subkey)}, {kind}, {draw}, e), 256), 1, 24))"
+    last = f"concat({kind}, '-', substr(sha2(concat(subkey, {kind}, {draw}, e), 256), 1, 24))"
     return let(
         e, "e",
         f"case when {draw} >= {DRAWS} then {last} when {kind} = 'email' then {email} when {kind} = 'ip' then {let("transform(split(e, '\\\\.'), x -> cast(x as bigint))", 'o', ip)} "
@@ -159,42 +181,57 @@ def found(text: str = "text") -> Column:
     return F.expr(f"case when {text} rlike '[0-9@]' or {text} rlike {quoted(bare)} then regexp_extract_all({text}, {quoted(ANY)}, 0) else array() end")
 
 
-def redrawn(docs: DataFrame, subkey: str) -> DataFrame:
+def keyed(spark: SparkSession, key: str) -> DataFrame:
+    """One row with the column `subkey`, made from the key. Data of a table, it is in the text of no plan and in no event log."""
+    return spark.createDataFrame([(hashlib.sha256(f"surrogates:{key}".encode()).hexdigest(),)], "subkey string")
+
+
+def redrawn(docs: DataFrame, secret: DataFrame) -> DataFrame:
     """(entity, kind, draw, surrogate) of the entities whose first draw would not do: all others are draw 0."""
-    all_of = docs.select(F.explode(found()).alias("entity")).distinct().withColumn("kind", F.expr(kind_of("entity"))).withColumn("draw", F.lit(0))
-    state = written(all_of.withColumn("surrogate", F.expr(surrogate("entity", "kind", "draw", subkey))), "entities")
-    real = state.select(F.col("entity").alias("surrogate"))
+    all_of = docs.select(F.explode(found()).alias("entity")).distinct().where(F.expr(real("entity"))).withColumn("kind", F.expr(kind_of("entity"))).withColumn("draw", F.lit(0))
+    drawn = F.expr(surrogate("entity", "kind", "draw"))
+    names = ["entity", "kind", "draw", "surrogate"]
+    state = written(all_of.crossJoin(F.broadcast(secret)).withColumn("surrogate", drawn).select(names), "entities")
+    # A surrogate is no entity of any text, in any case.
+    own = state.select(F.lower("entity").alias("low")).distinct()
     moved = False
     for _ in range(DRAWS + 2):
         twice = state.groupBy("surrogate").agg(F.count("*").alias("n"), F.min(F.struct("draw", "entity")).alias("keeps")).where("n > 1")
         met = state.join(twice, "surrogate").where(F.col("entity") != F.col("keeps.entity")).select("entity")
-        bad = written(met.union(state.join(real, "surrogate", "left_semi").select("entity")).distinct(), "again")
+        bad = written(met.union(state.withColumn("low", F.lower("surrogate")).join(own, "low", "left_semi").select("entity")).distinct(), "again")
         if bad.isEmpty():
             return state.where("draw > 0") if moved else state.limit(0)
         moved = True
-        state = written(
-            state.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", "kind", (F.col("draw") + F.coalesce("bad", F.lit(0))).alias("draw"), "surrogate", "bad")
-            .withColumn("surrogate", F.when(F.col("bad").isNull(), F.col("surrogate")).otherwise(F.expr(surrogate("entity", "kind", "draw", subkey)))).drop("bad"),
-            "entities",
-        )
+        next_draw = state.join(bad.withColumn("bad", F.lit(1)), "entity", "left").withColumn("draw", F.col("draw") + F.coalesce("bad", F.lit(0)))
+        state = written(next_draw.crossJoin(F.broadcast(secret)).withColumn("surrogate", F.when(F.col("bad").isNull(), F.col("surrogate")).otherwise(drawn)).select(names), "entities")
     raise RuntimeError("surrogates still collide")
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_entities (mentions)."""
-    subkey = hashlib.sha256(f"surrogates:{key}".encode()).hexdigest()
-    other = redrawn(docs, subkey)
-    columns = [c for c in docs.columns if c != "n_entities"]
-    out = docs.withColumn("__found", found())
-    one = surrogate("x", kind_of("x"), "0", subkey)
+    secret = keyed(docs.sparkSession, key)
+    other = redrawn(docs, secret)
+    # The row is one column until the end, so that no other column's name can clash. The key's table has one row.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").withColumn("hits", found()).crossJoin(F.broadcast(secret))
+    one = f"case when {real('x')} then {surrogate('x', kind_of('x'), '0')} else x end"
     if not other.isEmpty():
-        # Only documents that mention a redrawn entity take part: by row, as doc_id may repeat.
-        marked = out.withColumn("__row", F.xxhash64("text"))
-        mentions = marked.select("__row", F.explode("__found").alias("entity")).join(other, "entity").groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("__map"))
-        out = marked.join(written(mentions, "mentions"), "__row", "left")
-        one = f"coalesce(element_at(__map, x), {one})"
-    text = F.expr(f"case when size(__found) = 0 then text else array_join(zip_with(split(text, {quoted(ANY)}, -1), transform(__found, x -> {one}), (p, s) -> concat(p, coalesce(s, ''))), '') end")
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), F.coalesce(F.greatest(F.size("__found"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))
+        # Only documents that mention a redrawn entity take part: by text, as doc_id may repeat.
+        rows = rows.withColumn("th", F.xxhash64("text"))
+        mentions = rows.select("th", F.explode("hits").alias("entity")).join(other, "entity").groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("drawn"))
+        rows = rows.join(written(mentions, "mentions"), "th", "left")
+        one = f"coalesce(element_at(drawn, x), {one})"
+    rows = rows.withColumn("new", F.expr(f"transform(hits, x -> {one})"))
+    # Names found after a title, longest first, and the surrogates that their mentions without one get.
+    title = quoted(rf"^{TITLES}\.?[ \xa0]")
+    named = f"filter(zip_with(hits, new, (x, s) -> if(x rlike {title}, struct(-length(x) as n, regexp_replace(x, {title}, '') as bare, regexp_replace(s, {title}, '') as other), null)), x -> x is not null)"
+    rows = rows.withColumn("names", F.expr(f"array_sort(array_distinct({named}))"))
+    edge = r"[\p{L}\p{M}\d]"
+    again = f"concat({quoted('(?<!' + edge + ')(?:')}, array_join(transform(names, x -> concat({quoted(chr(92) + 'Q')}, x.bare, {quoted(chr(92) + 'E')})), '|'), {quoted(')(?!' + edge + ')')})"
+    told = f"zip_with(split(p, {again}, -1), regexp_extract_all(p, {again}, 0), (q, t) -> concat(q, coalesce(try_element_at(filter(names, x -> x.bare = t), 1).other, '')))"
+    part = f"if(size(names) = 0, p, array_join({told}, ''))"
+    text = F.expr(f"case when size(hits) = 0 then row.text else array_join(zip_with(split(text, {quoted(ANY)}, -1), new, (p, s) -> concat({part}, coalesce(s, ''))), '') end")
+    count = F.expr(f"coalesce(cast(greatest(size(filter(hits, x -> {real('x')})), 0) as long), 0L)")
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_entities"), count.alias("n_entities"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -469,3 +469,34 @@ def test_empty_tables(spark):
 def test_empty_media(spark, tmp_path):
     media.write_media(frame(spark, []), f"file://{tmp_path}/none")
     assert media.described(media.read_media(spark, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_surrogates_of_one_entity_in_several_forms(spark):
+    texts = [
+        "Dr. John Smith came; then John Smith left Smithfield, and John Smithson stayed. Smith too.",
+        "A.B@Corp.com wrote to a.b@corp.com", "+1 555 123 4567, 555-123-4567 and (555) 123-4567", "4652288524086166 or 4652288524086167",
+    ]
+    rows = {r["doc_id"]: r for r in pii.replaced(frame(spark, texts)).collect()}
+    words = rows[0]["text"].split()
+    name = " ".join(words[1:3]).rstrip(";")
+    assert name != "John Smith" and rows[0]["text"] == texts[0].replace("John Smith ", name + " ").replace("John Smith;", name + ";").replace("Smith came", name.split()[1] + " came")
+    assert rows[0]["n_entities"] == 1
+    first, second = rows[1]["text"].split(" wrote to ")
+    assert first != second and first.lower() == second and second.split("@")[0] != "a.b" and first[0].isupper() and first.split("@")[1][0].isupper()
+    numbers = ["".join(c for c in x if c.isdigit()) for x in rows[2]["text"].replace(" and ", ", ").split(", ")]
+    assert numbers[0] == "1" + numbers[1] and numbers[1] == numbers[2] != "5551234567" and numbers[1][0] not in "01"
+    assert rows[3]["text"].endswith(" or 4652288524086167") and rows[3]["n_entities"] == 1 and "4652288524086166" not in rows[3]["text"]
+
+
+def test_the_key_is_in_no_plan(spark):
+    import hashlib
+
+    out = pii.replaced(frame(spark, ["a@b.co, from 66.24.73.152"]), key="hidden key")
+    said = out._jdf.queryExecution().toString() + out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert "hidden key" not in said and hashlib.sha256(b"surrogates:hidden key").hexdigest() not in said
+
+
+def test_surrogates_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a@b.co", 1, 2, 3, 4, 5, 6, 7, 8)], "text string, row int, hits int, new int, names int, th int, subkey int, drawn int, n_entities int")
+    row = pii.replaced(df).first()
+    assert row.asDict() | {"text": ""} == {"text": "", "row": 1, "hits": 2, "new": 3, "names": 4, "th": 5, "subkey": 6, "drawn": 7, "n_entities": 1}
