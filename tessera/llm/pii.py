@@ -49,16 +49,17 @@ SHORT_IPV6 = "(?:" + "|".join([f"(?:{_H}:){{1,7}}:", *(f"(?:{_H}:){{{k}}}(?::{_H
 #: Each pattern is tried at each place in this order; the first that matches there wins.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "hexid": rf"(?<![\w:.-])(?:{SHORT_IPV6}|" r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "hexid": rf"(?=[0-9A-Fa-f]{{0,4}}:|[0-9A-Fa-f]{{2}}-)(?<![\w:.-])(?:{SHORT_IPV6}|" r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?![\w-])|(?<![\w.(-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-])",
-    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,100})(?!\w)",
-    "name": rf"(?<![\p{{L}}\p{{M}}\d]){TITLES}\.?[  ]\p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+){{0,2}}",
+    "card": r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "phone": r"(?=[\d+(])(?:(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8})(?![\w-])|(?<![\w.(-])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\w-]))",
+    "secret": r"(?=[0-9a-fAspgx])(?<!\w)(?:[0-9a-f]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,100})(?!\w)",
+    "name": rf"(?=[MDPSHFгκ])(?<![\p{{L}}\p{{M}}\d]){TITLES}\.?[  ]\p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]{{1,40}}+){{0,2}}",
 }
-ANY = "|".join(PATTERNS.values())
+#: None begins inside a run of ASCII letters and digits, nor with another character than these.
+ANY = r"(?<![A-Za-z0-9])(?=[\w.+%(:гκ-])(?:" + "|".join(PATTERNS.values()) + ")"
 
 #: Characters that stand for each other.
 ALPHABETS = [
@@ -176,9 +177,8 @@ def kind_of(e: str) -> str:
 
 
 def found(text: str = "text") -> Column:
-    """The entities of the text, in order. A text without a digit and '@' can only have those of three types."""
-    bare = "|".join(PATTERNS[k] for k in ("hexid", "secret", "name"))
-    return F.expr(f"case when {text} rlike '[0-9@]' or {text} rlike {quoted(bare)} then regexp_extract_all({text}, {quoted(ANY)}, 0) else array() end")
+    """The entities of the text, in order."""
+    return F.expr(f"coalesce(regexp_extract_all({text}, {quoted(ANY)}, 0), array())")
 
 
 def keyed(spark: SparkSession, key: str) -> DataFrame:
