@@ -183,7 +183,7 @@ def found(text: str = "text") -> Column:
 
 def keyed(spark: SparkSession, key: str) -> DataFrame:
     """One row with the column `subkey`, made from the key. Data of a table, it is in the text of no plan and in no event log."""
-    return spark.createDataFrame([(hashlib.sha256(f"surrogates:{key}".encode()).hexdigest(),)], "subkey string")
+    return spark.sql("select subkey from values (:subkey) as t(subkey)", args={"subkey": hashlib.sha256(f"surrogates:{key}".encode()).hexdigest()})
 
 
 def redrawn(docs: DataFrame, secret: DataFrame) -> DataFrame:
