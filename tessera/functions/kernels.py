@@ -48,7 +48,8 @@ def kalman_fold(series: Column, m0: Column, p0: Column, q: float) -> Column:
 
 def bocpd_fold(series: Column, hazard: float, mu0: Column, v0: float, most: int) -> Column:
     """Bayesian online changepoint detection (constant hazard, Gaussian with known variance) over series (array of
-    struct(t, y, r)): struct(p, m, v), arrays by run length from 0, the longest holding what would be longer than `most`."""
+    struct(t, y, r)): struct(p, m, v), arrays by run length from 0; the last one, `most`, holds the mass of all runs as long or longer,
+    with the means of their m and v by mass."""
     start = F.struct(F.array(F.lit(1.0)).alias("p"), F.array(mu0.cast("double")).alias("m"), F.array(F.lit(v0)).alias("v"))
 
     def step(a: Column, x: Column) -> Column:
@@ -61,7 +62,13 @@ def bocpd_fold(series: Column, hazard: float, mu0: Column, v0: float, most: int)
         grown = F.concat(F.array(F.lit(hazard)), F.transform(joint, lambda j: F.lit(1 - hazard) * j / total))
         means = F.concat(F.array(mu0.cast("double")), F.zip_with(a["m"], a["v"], lambda m, v: (m * x["r"] + x["y"] * v) / (v + x["r"])))
         variances = F.concat(F.array(F.lit(v0)), F.transform(a["v"], lambda v: v * x["r"] / (v + x["r"])))
-        size = F.least(F.size(grown), F.lit(most + 1))
-        return F.struct(F.slice(grown, 1, size).alias("p"), F.slice(means, 1, size).alias("m"), F.slice(variances, 1, size).alias("v"))
+        return F.element_at(F.transform(F.array(F.struct(grown.alias("p"), means.alias("m"), variances.alias("v"))), held), 1)
+
+    def held(a: Column) -> Column:
+        """At most `most` + 1 run lengths: what is over joins the last."""
+        one, two = (F.element_at(a["p"], F.lit(k)) for k in (-2, -1))
+        mean = lambda x: F.when(one + two > 0, (one * F.element_at(x, -2) + two * F.element_at(x, -1)) / (one + two)).otherwise(F.element_at(x, -2))
+        joined = F.struct(*(F.concat(F.slice(a[k], 1, most), F.array(last)).alias(k) for k, last in (("p", one + two), ("m", mean(a["m"])), ("v", mean(a["v"])))))
+        return F.when(F.size(a["p"]) > most + 1, joined).otherwise(a)
 
     return F.aggregate(series, start, step)

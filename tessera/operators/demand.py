@@ -175,8 +175,8 @@ def sinkhorn(spark: SparkSession, sf_dir: str, eps: float = 0.01, steps: int = 3
     import numpy as np
 
     e = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.array(*(F.avg(F.col("embedding")[i]) for i in range(64))).alias("v"))
-    topics = sorted(r[0] for r in read(spark, sf_dir, "part").select("p_type").distinct().limit(1000).collect())
-    vectors = {r["label"]: np.array(r["v"]) for r in e.limit(1000).collect()}  # a vector a topic
+    topics = sorted(r[0] for r in read(spark, sf_dir, "part").select("p_type").distinct().collect())
+    vectors = {r["label"]: np.array(r["v"]) for r in e.collect()}  # a vector a topic
     unit = np.stack([(v := vectors[sorted(vectors)[i % len(vectors)]]) / np.linalg.norm(v) for i in range(len(topics))])
     cost = 1 - unit @ unit.T
 

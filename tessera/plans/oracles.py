@@ -66,7 +66,8 @@ BOCPD = f"""run AS (SELECT topic, 0::BIGINT AS i, 0::BIGINT AS k, 1.0::DOUBLE AS
   UNION ALL (
   WITH joint AS (SELECT s.topic, o.i, s.k, s.m, s.v, o.y, o.r, s.w * exp(-(o.y - s.m) * (o.y - s.m) / (2 * (s.v + o.r))) / sqrt(2 * pi() * (s.v + o.r)) AS j FROM run s JOIN obs o ON o.topic = s.topic AND o.i = s.i + 1),
   grown AS (SELECT topic, i, k + 1 AS k, {1 - emerging.HAZARD} * j / sum(j) OVER (PARTITION BY topic) AS w, (m * r + y * v) / (v + r) AS m, v * r / (v + r) AS v FROM joint)
-  SELECT topic, i, k, w, m, v FROM grown WHERE k <= {emerging.LONGEST}
+  SELECT topic, i, least(k, {emerging.LONGEST}) AS k, sum(w) AS w, CASE WHEN sum(w) > 0 THEN sum(w * m) / sum(w) ELSE min_by(m, grown.k) END AS m,
+    CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE min_by(v, grown.k) END AS v FROM grown GROUP BY topic, i, least(grown.k, {emerging.LONGEST})
   UNION ALL SELECT topic, any_value(i), 0, {emerging.HAZARD}, any_value(mu), {emerging.V0} FROM joint JOIN moments USING (topic) GROUP BY topic)),
 final AS (SELECT * FROM run QUALIFY i = max(i) OVER (PARTITION BY topic)),
 short AS (SELECT topic, sum(w) FILTER (k <= {emerging.SHORT}) / sum(w) AS changepoint_p, sum(CASE WHEN w > 0 THEN -w * ln(w) ELSE 0 END) AS entropy FROM final GROUP BY 1)"""
