@@ -84,7 +84,7 @@ def in_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     # A row a range: small enough to broadcast at any size of the input.
     extra = dealt.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     rows = dealt.select("bucket", F.lit(False).alias("extra"), "doc_id", "text").union(extra.select("to", F.lit(True), "doc_id", "text"))
-    return rows.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def digests(docs: DataFrame, range_bytes: int = RANGE_BYTES, width: int = WIDTH) -> DataFrame:
