@@ -197,7 +197,7 @@ def pack(found: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per
     n = found.where(F.col("length") < length).count()
     tasks = max(1, -(-n // per_task))
     columns = found.columns
-    dealt = found.where(F.col("length") < length).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), *columns)
+    dealt = found.where(F.col("length") < length).repartition(tasks, F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())).sortWithinPartitions(F.xxhash64("doc_id", "piece"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
