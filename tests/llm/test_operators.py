@@ -500,3 +500,14 @@ def test_surrogates_beside_columns_of_any_name(spark):
     df = spark.createDataFrame([("a@b.co", 1, 2, 3, 4, 5, 6, 7, 8)], "text string, row int, hits int, new int, names int, th int, subkey int, drawn int, n_entities int")
     row = pii.replaced(df).first()
     assert row.asDict() | {"text": ""} == {"text": "", "row": 1, "hits": 2, "new": 3, "names": 4, "th": 5, "subkey": 6, "drawn": 7, "n_entities": 1}
+
+
+def test_documents_of_no_language_are_rejected(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    profiles = langid.prototypes(docs)
+    r = random.Random(2)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=600)), " ".join(r.choices("qzxjkvbw", k=400)), "asdkjh qwlekj zxcmn " * 20, "12 34", "", None]
+    own = docs.where("lang = 'de' and length(text) > 300").limit(1).first()
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100, own["text"], None)], "doc_id long, text string, lang string")
+    assert [(x["doc_id"], x["lang"]) for x in langid.of_a_language(df, profiles).collect()] == [(100, "de")]
+    assert langid.of_a_language(docs, profiles).where("length(text) >= 40").count() == docs.where("length(text) >= 40").count()
