@@ -34,21 +34,22 @@ def audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.comments(spark, sf_dir).groupBy("channel", "commenter").agg(F.count("*").cast("double").alias("w"))
 
 
-def hops(a: DataFrame) -> DataFrame:
-    """(src, dst, p): probability of a step channel-commenter-channel. One join of the audience with itself by commenter; a
+def hops(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, p), for each of `keys`: probability of a step channel-commenter-channel. One join of the audience with itself by commenter; a
     commenter's pairs are bounded by the configured channel list."""
-    out = a.select(F.col("channel").alias("src"), "commenter", (F.col("w") / F.sum("w").over(Window.partitionBy("channel"))).alias("out"))
-    back = a.select(F.col("channel").alias("dst"), "commenter", (F.col("w") / F.sum("w").over(Window.partitionBy("commenter"))).alias("back"))
-    return out.join(back, "commenter").groupBy("src", "dst").agg(F.sum(F.col("out") * F.col("back")).alias("p"))
+    out = a.select(*keys, F.col("channel").alias("src"), "commenter", (F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "channel"))).alias("out"))
+    back = a.select(*keys, F.col("channel").alias("dst"), "commenter", (F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "commenter"))).alias("back"))
+    return out.join(back, [*keys, "commenter"]).groupBy(*keys, "src", "dst").agg(F.sum(F.col("out") * F.col("back")).alias("p"))
 
 
-def ppr(hop: DataFrame, targets: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(target, channel, r): personalised PageRank from each target. Each commenter leads back to a channel, so no mass dangles."""
-    start = targets.select(F.col("channel").alias("target"), "channel", F.lit(1 - ALPHA).alias("r"))
-    r = targets.select(F.col("channel").alias("target"), "channel", F.lit(1.0).alias("r"))
+def ppr(hop: DataFrame, targets: DataFrame, steps: int = STEPS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(target, channel, r), for each of `keys`: personalised PageRank from each target. Each commenter leads back to a channel, so no mass dangles."""
+    start = targets.select(*keys, F.col("channel").alias("target"), "channel", F.lit(1 - ALPHA).alias("r"))
+    r = targets.select(*keys, F.col("channel").alias("target"), "channel", F.lit(1.0).alias("r"))
+    by_source = hop.withColumnRenamed("src", "channel")
     for _ in range(steps):
-        moved = r.join(hop, F.col("channel") == F.col("src")).select("target", F.col("dst").alias("channel"), (F.lit(ALPHA) * F.col("r") * F.col("p")).alias("r"))
-        r = moved.union(start).groupBy("target", "channel").agg(F.sum("r").alias("r"))
+        moved = r.join(by_source, [*keys, "channel"]).select(*keys, "target", F.col("dst").alias("channel"), (F.lit(ALPHA) * F.col("r") * F.col("p")).alias("r"))
+        r = moved.union(start).groupBy(*keys, "target", "channel").agg(F.sum("r").alias("r"))
     return r
 
 
@@ -144,6 +145,26 @@ def bridge_rank_by_target(spark: SparkSession, sf_dir: str, k: int = 5) -> DataF
     return best.select("target", "channel", "rank", rounded("score").alias("score"), F.concat_ws(",", F.slice("t.topic", 1, 2)).alias("shared_topics"))
 
 
+def bridge_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridges of each target anew for each week's comments: (target, channel, week, score, confidence, explanation). Names no commenter."""
+    week = ("week",)
+    a = adapt.comments(spark, sf_dir).groupBy("week", "channel", "commenter").agg(F.count("*").cast("double").alias("w"))
+    r = ppr(hops(a, week), a.select("week", "channel").distinct(), keys=week).where("channel <> target")
+    r = r.withColumn("ppr", F.try_divide("r", F.max("r").over(Window.partitionBy("week", "target"))))
+    own, other = (a.select("week", F.col("channel").alias(c), "commenter") for c in ("target", "channel"))
+    common = own.join(other, ["week", "commenter"]).where("target <> channel").groupBy("week", "target", "channel").agg(F.count("*").alias("n"))
+    counts = adapt.lines(spark, sf_dir).groupBy("week", "channel", "topic").agg(F.sum("qty").cast("double").alias("q"))
+    unit = counts.withColumn("u", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("week", "channel"))))
+    mine = unit.select("week", F.col("channel").alias("target"), "topic", F.col("q").alias("qt"), F.col("u").alias("ut"))
+    both = mine.join(unit, ["week", "topic"]).where("target <> channel")
+    best = F.min(F.struct((-F.round(F.least("q", "qt"), 8)).alias("m"), "topic"))["topic"]
+    topics = both.groupBy("week", "target", "channel").agg(F.sum(F.col("u") * F.col("ut")).alias("s"), best.alias("topic"))
+    x = r.join(common, ["week", "target", "channel"], "left").join(topics, ["week", "target", "channel"], "left").na.fill(0.0, ["s"]).na.fill(0, ["n"])
+    c = F.col("n") / (F.col("n") + KAPPA)
+    told = F.concat(F.col("n").cast("string"), F.lit(" shared commenters; "), F.coalesce("topic", F.lit("no shared topic")))
+    return x.select("target", "channel", "week", rounded(c * (LAMBDA * F.col("ppr") + (1 - LAMBDA) * F.col("s"))).alias("score"), rounded(c).alias("confidence"), told.alias("explanation"))
+
+
 def channel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, w), both ways: commenters that channels share. A commenter counts for each pair of its channels, whose number the configured list bounds."""
     x = audience(spark, sf_dir).select(F.col("channel").alias("a"), "commenter")

@@ -12,6 +12,9 @@ from ..sources.tables import read
 #: Words of romanised Sinhala that route a Latin text to Tanglish.
 TANGLISH = ["mama", "oya", "api", "eka", "mokada", "kohomada", "hari", "nane", "puluwan", "kiyala", "karanna", "thiyenawa", "godak", "lassanai"]
 
+#: Comments at which a week's divergence is half borne out.
+KAPPA = 20.0
+
 
 def clean(c: Column) -> Column:
     """Lower case, without links, mentions and markup, white space as single spaces."""
@@ -153,14 +156,36 @@ def jsd_contrib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps(spark, sf_dir).select("channel", "topic", rounded("part").alias("part"), rounded("gap").alias("gap"))
 
 
+def gaps_by(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
+    """(channel, step, topic, p, q): each step's demand and the overall supply."""
+    p = share(adapt.lines(spark, sf_dir), ["channel", step], F.sum("qty"), "p")
+    q = supply(spark, sf_dir).join(p.select("channel", step).distinct(), "channel")
+    return both_sides(p, q, ["channel", step])
+
+
+def jsd_delta(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
+    """Divergence of each step's demand from the overall supply, and its change since the channel's step before."""
+    x = gaps_by(spark, sf_dir, step).groupBy("channel", step).agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"))
+    before = F.lag("jsd").over(Window.partitionBy("channel").orderBy(step))
+    return x.select("channel", step, rounded("jsd").alias("jsd"), rounded(F.col("jsd") - before).alias("change"))
+
+
 def jsd_monthly_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence by month's demand from the overall supply, and its change since the channel's month before."""
-    p = share(adapt.lines(spark, sf_dir), ["channel", "month"], F.sum("qty"), "p")
-    months = p.select("channel", "month").distinct()
-    q = supply(spark, sf_dir).join(months, "channel")
-    x = both_sides(p, q, ["channel", "month"]).groupBy("channel", "month").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"))
-    before = F.lag("jsd").over(Window.partitionBy("channel").orderBy("month"))
-    return x.select("channel", "month", rounded("jsd").alias("jsd"), rounded(F.col("jsd") - before).alias("change"))
+    return jsd_delta(spark, sf_dir, "month")
+
+
+def jsd_weekly_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsd_delta(spark, sf_dir, "week")
+
+
+def demand_gap_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, week, score, confidence, explanation): the divergence, how far the week's comments bear it, and the topic most in want."""
+    x = gaps_by(spark, sf_dir, "week").withColumn("gap", F.round(F.col("p") - F.col("q"), 8))
+    most = F.min(F.when(F.col("gap") > 0, F.struct((-F.col("gap")).alias("g"), "topic")))["topic"]
+    score = x.groupBy("channel", "week").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"), most.alias("topic"))
+    n = adapt.lines(spark, sf_dir).groupBy("channel", "week").agg(F.count("*").alias("n"))
+    told = F.coalesce(F.concat(F.lit("unmet: "), "topic"), F.lit("met"))
+    return score.join(n, ["channel", "week"]).select("channel", "week", rounded("jsd").alias("score"), rounded(F.col("n") / (F.col("n") + KAPPA)).alias("confidence"), told.alias("explanation"))
 
 
 def w1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,4 +159,39 @@ ORACLES = {
     "fusion_contributions": f"{ALL} SELECT channel, component, part FROM contrib",
     "recommend_topk": f"""{ALL}, r AS (SELECT channel, component, row_number() OVER (PARTITION BY channel ORDER BY part DESC, component) AS rank FROM contrib)
         SELECT channel, rank, channel || ': ' || CASE component WHEN 'opportunity' THEN 'follow what similar channels do better' WHEN 'gap' THEN 'make content for unmet demand' ELSE 'address the audience of bridge channels' END AS recommendation FROM r WHERE rank <= 2""",
+    "demand_gap_weekly": f"""WITH {LINES}, u AS (SELECT p_brand AS channel, p_type AS topic, count(*) / sum(count(*)) OVER (PARTITION BY p_brand) AS q FROM part GROUP BY 1, 2),
+        d AS (SELECT channel, week, topic, sum(qty) / sum(sum(qty)) OVER (PARTITION BY channel, week) AS p FROM lines GROUP BY 1, 2, 3), g AS (SELECT channel, week, count(*) AS n FROM lines GROUP BY 1, 2),
+        x AS (SELECT channel, week, topic, coalesce(p, 0) AS p, coalesce(q, 0) AS q, (coalesce(p, 0) + coalesce(q, 0)) / 2 AS m FROM d FULL JOIN (SELECT u.*, week FROM u JOIN g USING (channel)) USING (channel, week, topic)),
+        j AS (SELECT channel, week, sum({ENTROPY.format("m")} - ({ENTROPY.format("p")} + {ENTROPY.format("q")}) / 2) AS jsd FROM x GROUP BY 1, 2),
+        t AS (SELECT channel, week, topic FROM x WHERE round(p - q, 8) > 0 QUALIFY row_number() OVER (PARTITION BY channel, week ORDER BY round(p - q, 8) DESC, topic) = 1)
+        SELECT channel, week, round(jsd, 8) AS score, round(n / (n + {demand.KAPPA}), 8) AS confidence, coalesce('unmet: ' || topic, 'met') AS explanation FROM j JOIN g USING (channel, week) LEFT JOIN t USING (channel, week)""",
+    "bridge_weekly": f"""WITH RECURSIVE {COMMENTS}, aud AS (SELECT week, channel, commenter, count(*)::DOUBLE AS w FROM comments GROUP BY ALL),
+        ct AS (SELECT week, channel, sum(w) AS t FROM aud GROUP BY ALL), ut AS (SELECT week, commenter, sum(w) AS t FROM aud GROUP BY ALL),
+        hop AS (SELECT o.week, o.channel AS src, b.channel AS dst, sum(o.w / ct.t * b.w / ut.t) AS p FROM aud o JOIN aud b USING (week, commenter) JOIN ct ON ct.week = o.week AND ct.channel = o.channel JOIN ut ON ut.week = o.week AND ut.commenter = o.commenter GROUP BY ALL),
+        walk AS (SELECT 0 AS i, week, channel AS target, channel, 1.0::DOUBLE AS r FROM ct
+          UNION ALL SELECT any_value(i) + 1, walk.week, target, dst, {ALPHA} * sum(r * p) + CASE WHEN dst = target THEN {1 - ALPHA} ELSE 0 END FROM walk JOIN hop ON hop.week = walk.week AND src = channel WHERE i < {bridge.STEPS} GROUP BY walk.week, target, dst),
+        top AS (SELECT week, target, channel, r / max(r) OVER (PARTITION BY week, target) AS ppr FROM walk WHERE i = {bridge.STEPS} AND channel <> target),
+        common AS (SELECT a.week, a.channel AS target, b.channel, count(DISTINCT a.commenter) AS n FROM aud a JOIN aud b USING (week, commenter) WHERE a.channel <> b.channel GROUP BY ALL),
+        q AS (SELECT week, channel, topic, sum(qty)::DOUBLE AS q FROM lines GROUP BY ALL), norm AS (SELECT week, channel, sqrt(sum(q * q)) AS norm FROM q GROUP BY ALL),
+        near AS (SELECT a.week, a.channel AS target, b.channel, sum(a.q * b.q) / (any_value(na.norm) * any_value(nb.norm)) AS s, first(a.topic ORDER BY round(least(a.q, b.q), 8) DESC, a.topic) AS topic
+          FROM q a JOIN q b ON a.week = b.week AND a.topic = b.topic AND a.channel <> b.channel JOIN norm na ON na.week = a.week AND na.channel = a.channel JOIN norm nb ON nb.week = b.week AND nb.channel = b.channel GROUP BY 1, 2, 3),
+        x AS (SELECT target, channel, week, ppr, coalesce(s, 0) AS s, coalesce(n, 0) AS n, topic FROM top LEFT JOIN common USING (week, target, channel) LEFT JOIN near USING (week, target, channel))
+        SELECT target, channel, week, round(n / (n + {bridge.KAPPA}) * ({bridge.LAMBDA} * ppr + {1 - bridge.LAMBDA} * s), 8) AS score, round(n / (n + {bridge.KAPPA}), 8) AS confidence, n || ' shared commenters; ' || coalesce(topic, 'no shared topic') AS explanation FROM x""",
+}
+ORACLES["jsd_weekly_delta"] = ORACLES["jsd_monthly_delta"].replace(LINES, "@").replace("month", "week").replace("@", LINES)
+
+#: The same by channel and topic: `topic` is both, with a tab between them, and the totals are the channel's.
+WEEKLY = f"""{RATES.replace("moments AS", "by_topic AS")}, keys AS (SELECT DISTINCT channel, topic AS own, channel || chr(9) || topic AS topic FROM lines),
+moments AS (SELECT keys.topic, mu, tau2 FROM keys JOIN by_topic ON own = by_topic.topic),
+counted AS (SELECT channel, topic AS own, week, count(*) AS n FROM lines GROUP BY ALL), totals AS (SELECT channel, week, sum(n)::BIGINT AS total FROM counted GROUP BY ALL),
+grid AS (SELECT *, unnest(generate_series((SELECT min(week) FROM lines)::TIMESTAMP, (SELECT max(week) FROM lines)::TIMESTAMP, INTERVAL 1 week))::DATE AS t FROM keys),
+dense AS (SELECT grid.topic, t, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM grid LEFT JOIN counted ON counted.channel = grid.channel AND counted.own = grid.own AND counted.week = t
+  LEFT JOIN totals ON totals.channel = grid.channel AND totals.week = t)"""
+BOTH = "split_part(topic, chr(9), 1) AS channel, split_part(topic, chr(9), 2) AS topic"
+ORACLES |= {
+    "prevalence_weekly": f"WITH {LINES}, {WEEKLY} SELECT {BOTH}, t AS week, n, total, round(n / nullif(total, 0), 8) AS share FROM dense",
+    **{
+        f"{name}_weekly": ORACLES[name].replace(f"{RATES}, {dense('month')}", WEEKLY).replace("SELECT topic, round", f"SELECT {BOTH}, round")
+        for name in ("kalman_level", "forecast_var", "bocpd_shortrun", "emerging_flag", "alert_view")
+    },
 }
