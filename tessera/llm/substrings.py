@@ -8,7 +8,7 @@ content it has in an earlier document: their windows are all repeats, so a group
 its hash. Of each distinct content only the earliest document's cells are still open; where a hash has several contents,
 those are indexed by a suffix array, in which equal windows are neighbours, and the earliest document of each run decides.
 Of these contents the bytes are indexed that another content of the hash has next to the 22-byte part too, which no shared window exceeds;
-a content of which that leaves less than a window isn't.
+a content of which that leaves less than a window isn't. Where a hash has very many contents, they are dealt by more bytes than the 22.
 
 Given results: null text is empty; a text under 50 bytes stays whole; rows that share a doc_id do not repeat each other, and each
 gets its row; a row with null doc_id stays whole and makes no other row's bytes go; an empty table gives no rows; other columns are ignored.
@@ -22,6 +22,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,13 @@ from pyspark.sql import types as T
 from .common import in_batches, slices, table, written
 from .suffixarray import suffix_array
 
-LENGTH, PART = 50, 22
+LENGTH, PART, STEP = 50, 22, 4
 #: Bytes of text whose cells a task takes at once, about; windows of a cell at most; starts taken at once in a text.
 BUCKET_BYTES, CELL, SEGMENT = 8 << 20, 512, 1 << 20
 #: Bytes of contents in one suffix array, about: further hashes go to the next one.
 INDEX_BYTES = 1 << 14
+#: Contents of a hash from which they are dealt by more than that hash.
+HOT_CONTENTS = 4096
 #: Rows of contents that a task looks at together, about.
 BLOCK = 20_000
 
@@ -103,7 +106,8 @@ def dealt(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-CELLS, COVERS, ASKED = 0, 1, 2
+#: Kinds of rows; HOT ones are asked, of a hash with over HOT_CONTENTS contents.
+CELLS, COVERS, ASKED, HOT = range(4)
 #: Columns of packed cells (hash, content's hash, place in the blob's table of documents, first window, size), of that table (doc_id, text's
 #: check), and of packed covered windows.
 CELL_KINDS, DOC_KINDS, COVER_KINDS = ("u8", "u8", "u4", "u4", "u2"), ("i8", "u4"), ("i8", "u4", "u4", "u4")
@@ -172,8 +176,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
 _MET = T.StructType(_PACKED.fields + [T.StructField("doc_id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-def met(packed: DataFrame, parts: int) -> DataFrame:
-    """Packed rows of covered windows, and rows (kind ASKED) of the cells whose content must be compared with others'."""
+def met(packed: DataFrame, parts: int, hot: int = HOT_CONTENTS) -> DataFrame:
+    """Packed rows of covered windows, and rows (kind ASKED or HOT) of the cells whose content must be compared with others'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), blobs in gathered(batches):
@@ -205,7 +209,8 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             if n:
                 name = (key[ask] << np.uint64(20) | np.uint64(part)).astype(np.int64)
                 none = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ASKED, np.int32)), none, none, pa.nulls(n, pa.binary()), pa.array(doc[ask]), pa.array(check[ask].astype(np.int64)), pa.array(name), pa.array(start[ask].astype(np.int32)), pa.array(end[ask].astype(np.int32))], _MET.names)
+                many = np.add.reduceat(ask.astype(np.int64), at) > hot
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(many[of][ask], HOT, ASKED).astype(np.int32)), none, none, pa.nulls(n, pa.binary()), pa.array(doc[ask]), pa.array(check[ask].astype(np.int64)), pa.array(name), pa.array(start[ask].astype(np.int32)), pa.array(end[ask].astype(np.int32))], _MET.names)
 
     def whole(rows: list[tuple]) -> pa.RecordBatch:
         b = packed_batch(rows)
@@ -306,6 +311,23 @@ def reaches(key: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndar
     return place, once, shared_sides(key, left, before), shared_sides(key, right, after)
 
 
+def classes(key: int, content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(key, start, bytes) of parts of a content, one for each STEP of its windows by how many bytes they have before the 22-byte part: all windows of
+    a part have the same LENGTH - STEP + 1 bytes, and these make the part's key. Equal windows of two contents are in parts of one key, so a
+    hash with very many contents is dealt to many tasks, and what contents have in common is there once."""
+    b = np.frombuffer(content, np.uint8).astype(np.uint64) + np.uint64(1)
+    up, down = powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(b * up, out=sums[1:])
+    x = mixed((sums[PART:] - sums[:-PART]) * down[: len(b) - PART + 1])
+    for p in np.flatnonzero(x == x.min()).tolist():
+        for before in range(0, LENGTH - PART + 1, STEP):
+            least, most = max(0, p - min(before + STEP - 1, LENGTH - PART)), min(len(content), p - before + LENGTH)
+            start, end = p - before, p - before - STEP + 1 + LENGTH
+            if start >= 0 and end <= len(content) and most - least >= LENGTH:
+                yield xxhash.xxh3_64_intdigest(content[start:end], key & _M ^ before) - (1 << 63), least, content[least:most]
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches that come sorted by key, as tables of at least BLOCK rows (but the last) that don't cut a key."""
     held: list[pa.RecordBatch] = []
@@ -324,65 +346,84 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def indexed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the windows of contents, which come sorted by key, that contents of a smaller doc_id have too."""
+    found: list[tuple[int, int, int, int]] = []
+    held: list[tuple[list[tuple[bytes, int]], list[int] | None, list[tuple]]] = []
+    size = 0
+
+    def index() -> None:
+        # Contents of several hashes share an index; equal windows have equal hashes, so runs never mix them.
+        masks = iter(repeats([(contents, places) for contents, places, _ in held]))
+        for contents, _, cells in held:
+            for own in cells:
+                m = next(masks)
+                if m.any():
+                    edge = np.flatnonzero(np.diff(m.astype(np.int8), prepend=0, append=0)).tolist()
+                    found.extend((doc, check, start + a, start + z - 1) for doc, check, start in own for a, z in zip(edge[::2], edge[1::2], strict=True))
+
+    for block in whole_keys(batches):
+        key = block.column("key").to_numpy()
+        place, once, before, after = reaches(key, block.column("content").to_pylist())
+        keep = np.flatnonzero(~once | (before + after >= LENGTH - PART))
+        rows = zip(*(c.to_pylist() for c in block.take(pa.array(keep)).columns), *(x[keep].tolist() for x in (place, once, before, after)), strict=True)
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            # Each distinct content once: its bytes that others may share, its smallest document, and where it is.
+            contents: dict[bytes, tuple[bytes, int, int, list[tuple]]] = {}
+            for _, doc, check, start, b, p, one, l, r in group:
+                skip = p - l if one else 0
+                part = b[skip : p + PART + r] if one else b
+                had = contents.setdefault(b, (part, l if one else -1, [], []))
+                had[2].append(doc)
+                had[3].append((doc, check, start + skip))
+            for b, (part, _, docs, own) in contents.items():
+                # A content that several documents have, as parts of contents may be: all of it goes from the later ones.
+                least = min(docs)
+                found += [(doc, check, start, start + len(part) - LENGTH) for doc, check, start in own if doc > least]
+                own[:] = [x for x in own if x[0] == least]
+            if len(contents) < 2 or len({min(x[2]) for x in contents.values()}) < 2:
+                continue
+            places = [x[1] for x in contents.values()]
+            # Two parts may have one hash: bytes tell them apart.
+            alone = places[0] >= 0 and len({x[0][x[1] : x[1] + PART] for x in contents.values()}) == 1
+            held.append(([(x[0], min(x[2])) for x in contents.values()], places if alone else None, [x[3] for x in contents.values()]))
+            size += sum(len(x[0]) for x in contents.values())
+            if size >= INDEX_BYTES:
+                index()
+                held, size = [], 0
+        if len(found) > 50_000:
+            yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
+            found.clear()
+    if held:
+        index()
+    if found:
+        yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
+
+
 def compared(asked: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """Packed rows of the windows of `asked` cells that other contents of their hash repeat."""
-    by_doc = asked.groupBy("doc_id", "check").agg(F.collect_list(F.struct("key", "start", "end")).alias("x"))
+    by_doc = asked.groupBy("doc_id", "check").agg(F.collect_list(F.struct("key", "start", "end", (F.col("kind") == HOT).alias("hot"))).alias("x"))
     both = docs.join(by_doc, ["doc_id", "check"]).select("doc_id", "check", "text", "x")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                rows = [(x["key"], d, c, x["start"], t[x["start"] : x["end"] + LENGTH]) for d, c, t, xs in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), (t.as_buffer().to_pybytes() for t in piece.column(2)), piece.column(3).to_pylist(), strict=True) for x in xs]
+                rows = []
+                for d, c, t, xs in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), piece.column(3).to_pylist(), strict=True):
+                    t = t.as_buffer().to_pybytes()
+                    for x in xs:
+                        content = t[x["start"] : x["end"] + LENGTH]
+                        if x["hot"]:
+                            rows += [(key, d, c, x["start"] + at, part) for key, at, part in classes(x["key"], content)]
+                        else:
+                            rows.append((x["key"], d, c, x["start"], content))
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "doc_id", "check", "start", "content"])
 
     got = both.transform(in_batches, fetch, "key bigint, doc_id bigint, check bigint, start int, content binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, int, int]] = []
-        held: list[tuple[list[tuple[bytes, int]], list[int] | None, list[tuple]]] = []
-        size = 0
-
-        def index() -> None:
-            # Contents of several hashes share an index; equal windows have equal hashes, so runs never mix them.
-            masks = iter(repeats([(contents, places) for contents, places, _ in held]))
-            for contents, _, cells in held:
-                for own in cells:
-                    m = next(masks)
-                    if m.any():
-                        edge = np.flatnonzero(np.diff(m.astype(np.int8), prepend=0, append=0)).tolist()
-                        found.extend((doc, check, start + a, start + z - 1) for doc, check, start in own for a, z in zip(edge[::2], edge[1::2], strict=True))
-
-        for block in whole_keys(batches):
-            key = block.column("key").to_numpy()
-            place, once, before, after = reaches(key, block.column("content").to_pylist())
-            keep = np.flatnonzero(~once | (before + after >= LENGTH - PART))
-            rows = zip(*(c.to_pylist() for c in block.take(pa.array(keep)).columns), *(x[keep].tolist() for x in (place, once, before, after)), strict=True)
-            for _, group in groupby(rows, key=lambda r: r[0]):
-                # Each distinct content once: its bytes that others may share, its smallest document, and where it is.
-                contents: dict[bytes, tuple[bytes, int, int, list[tuple]]] = {}
-                for _, doc, check, start, b, p, one, l, r in group:
-                    skip = p - l if one else 0
-                    part = b[skip : p + PART + r] if one else b
-                    had = contents.setdefault(b, (part, l if one else -1, [], []))
-                    had[2].append(doc)
-                    had[3].append((doc, check, start + skip))
-                if len(contents) < 2 or len({min(x[2]) for x in contents.values()}) < 2:
-                    continue
-                places = [x[1] for x in contents.values()]
-                held.append(([(x[0], min(x[2])) for x in contents.values()], None if places[0] < 0 else places, [x[3] for x in contents.values()]))
-                size += sum(len(x[0]) for x in contents.values())
-                if size >= INDEX_BYTES:
-                    index()
-                    held, size = [], 0
-            if len(found) > 50_000:
-                yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
-                found.clear()
-        if held:
-            index()
-        if found:
-            yield packed_batch(list(packed_covers(*(np.array(x, np.int64) for x in zip(*found, strict=True)), parts)))
-
-    return got.repartition(parts, "key").sortWithinPartitions("key").transform(in_batches, run, _PACKED)
+    return got.repartition(parts, "key").sortWithinPartitions("key").transform(in_batches, lambda batches: indexed(batches, parts), _PACKED)
 
 
 def removed(covers: DataFrame, parts: int) -> DataFrame:
@@ -424,7 +465,7 @@ def kept(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return b"".join(out), int((s[:, 1] - s[:, 0]).sum()), len(s)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT_CONTENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is binary, as a cut may fall inside a character."""
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("check", F.crc32("text"))
@@ -432,9 +473,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-total // BUCKET_BYTES))
     parts = min(parts, 1 << 20)
     long = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    told = written(met(first_cells(long, parts), parts), "met")
+    told = written(met(first_cells(long, parts), parts, hot), "met")
     covers = told.where(F.col("kind") == COVERS).select(*_PACKED.names)
-    more = compared(told.where(F.col("kind") == ASKED), long, parts)
+    more = compared(told.where(F.col("kind") >= ASKED), long, parts)
     spans = removed(covers.union(more), parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

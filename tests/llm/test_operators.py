@@ -5,6 +5,8 @@ import random
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,17 +146,29 @@ def substrings_brute(rows):
     return sorted(out, key=str)
 
 
-def test_substrings_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [substrings.HOT_CONTENTS, 1])
+def test_substrings_by_brute_force(spark, hot):
     r = random.Random(7)
-    texts = [t for t in EDGES if t != C * 20]
+    texts = list(EDGES)
+    for k in range(12):  # one passage in many contexts
+        texts.append(prose(700 + k, 8) + A[40:110] + prose(800 + k, 8))
     for k in range(25):
         a, b = r.randrange(300), r.randrange(300)
         texts.append(prose(100 + k, 20) + A[a : a + r.randint(45, 200)] + "é" * (k % 3) + B[b : b + 120] + "to be " * (k * 5))
     rows = [(t if isinstance(t, tuple) else (i, t)) for i, t in enumerate(texts)]
-    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in substrings.without_repeats(frame(spark, texts)).collect()]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in substrings.without_repeats(frame(spark, texts), hot).collect()]
     assert sorted(got, key=str) == substrings_brute(rows)
 
 
+def test_parts_of_one_hash_are_told_apart(spark, monkeypatch):
+    a, b = (prose(900 + k, 30).encode() for k in (0, 1))
+    left, right = b"l" * 28, b"r" * 28
+    contents = [(left + x[:22] + right, doc) for doc, x in enumerate((a, b))]
+    batch = pa.RecordBatch.from_pylist([{"key": 1, "doc_id": d, "check": 0, "start": 0, "content": c} for c, d in contents])
+    monkeypatch.setattr(substrings, "reaches", lambda key, cs: (np.full(2, 28), np.ones(2, bool), np.full(2, 28), np.full(2, 28)))
+    assert list(substrings.indexed(iter([batch]), 1)) == []
+
+
 def test_lines(spark):
     long = [prose(50 + k, 12) for k in range(8)]
     texts = [
@@ -511,3 +525,29 @@ def test_documents_of_no_language_are_rejected(spark, data):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100, own["text"], None)], "doc_id long, text string, lang string")
     assert [(x["doc_id"], x["lang"]) for x in langid.of_a_language(df, profiles).collect()] == [(100, "de")]
     assert langid.of_a_language(docs, profiles).where("length(text) >= 40").count() == docs.where("length(text) >= 40").count()
+
+
+def test_copied_blocks_of_lines_go(spark):
+    """By brute force: documents of lines of their own, and one run of lines of an earlier one, from a long line to a long line, short ones among them."""
+    r = random.Random(12)
+    own, rows, want = [], [], {}
+    for k in range(120):
+        lines = [prose(40_000 + 100 * k + i, 1 if r.random() < 0.2 else 10) + f" {k}.{i}" for i in range(r.randint(3, 12))]
+        own.append(lines)
+        kept = list(lines)
+        if k:
+            p = r.randrange(k)
+            a = r.randrange(len(own[p]))
+            block = own[p][a : a + r.randint(1, 6)]
+            if min(len(block[0]), len(block[-1])) >= 25:
+                at = r.randrange(len(kept) + 1)
+                kept[at:at] = block
+                want[k] = len(block), "\n".join(lines)
+        rows.append((k, "\n".join(kept)))
+    rows += [(200 + k, t) for k, t in rows[:20]] + [(300, rows[0][1] + "\n" + next(rows[k][1] for k in range(1, 120) if k not in want))]
+    got = {x["doc_id"]: (x["n_removed"], x["text"]) for x in linededup.dedup_lines(frame(spark, rows)).collect()}
+    for k, t in rows[:120]:
+        assert got[k] == want.get(k, (0, t))
+    for k in range(20):
+        assert got[200 + k] == (len(rows[k][1].split("\n")), "")
+    assert got[300][1] == ""
