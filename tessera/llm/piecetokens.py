@@ -8,7 +8,8 @@ the order of the merges' scores, leftmost first, each joining two neighbours tha
 become their bytes' pieces.
 
 Given results: null text gives null ids, empty text none; a word mark in a text decodes as a space; bytes that are no UTF-8 decode as U+FFFD;
-ids out of the vocabulary raise an error; repeated rows and null doc_id each get their row; an empty table gives no rows; other columns are ignored.
+ids out of the vocabulary raise an error; a long word (a text without spaces, say) is matched in parts where its characters allow it, so what
+a worker holds goes with its longest stretch of characters that pieces join, and the ids are the same; repeated rows and null doc_id each get their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import in_batches, resident, slices, spread, table
 MARK = "\u2581"
 #: Characters of new words in one index, about; characters of a word over which its merges go through a heap.
 INDEX_CHARS, LONG = 1 << 18, 48
+#: Characters of a word from which it is cut where no piece can join what is on both sides.
+WORD_CHARS = 1 << 14
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -55,6 +58,9 @@ class Vocabulary:
         self.codes = np.full((len(texts), self.depth), -1, np.int32)
         for i, t in enumerate(texts):
             self.codes[i, : len(t)] = [ord(c) for c in t]
+        inner = np.flatnonzero((self.codes[:, 1:] >= 0).ravel())
+        #: Neighbouring characters of pieces: no merge joins others.
+        self.joined = np.unique((self.codes[:, :-1].astype(np.int64) << 21 | self.codes[:, 1:].astype(np.int64)).ravel()[inner])
         score = np.array([p.score for p in model.pieces])
         self.rank = np.zeros(len(score), np.int64)
         self.rank[np.argsort(-score, kind="stable")] = np.arange(len(score))
@@ -111,7 +117,13 @@ class PieceTokens:
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        at = 0
+        long = [w for w in words if len(w) > WORD_CHARS]
+        for w in long:
+            ids = np.concatenate([self.match([part])[0] for part in self.parts(w)])
+            self.place[w] = len(self.sizes)
+            self.starts, self.sizes = np.append(self.starts, np.int32(len(self.ids))), np.append(self.sizes, np.int32(len(ids)))
+            self.ids = np.concatenate([self.ids, ids])
+        words, at = [w for w in words if len(w) <= WORD_CHARS] if long else words, 0
         while at < len(words):
             n, size = at, 0
             while n < len(words) and (n == at or size + len(words[n]) < INDEX_CHARS):
@@ -123,6 +135,17 @@ class PieceTokens:
             self.ids, self.starts, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.starts, starts.astype(np.int32)]), np.concatenate([self.sizes, sizes])
             at = n
 
+    def parts(self, word: str) -> Iterator[str]:
+        """A long word in parts of WORD_CHARS characters at least, cut where no piece has the two characters beside the cut: merges never join them."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.int32).astype(np.int64)
+        seams = np.flatnonzero(~np.isin(codes[:-1] << 21 | codes[1:], self.v.joined)) + 1
+        at = 0
+        while at < len(word):
+            k = np.searchsorted(seams, at + WORD_CHARS)
+            end = int(seams[k]) if k < len(seams) else len(word)
+            yield word[at:end]
+            at = end
+
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in turn, number of ids of each)."""
         v = self.v

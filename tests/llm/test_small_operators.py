@@ -58,6 +58,21 @@ def test_piece_ids_are_those_of_the_library(texts):
     assert tokens.decode(ids, sizes) == [t.replace("▁", " ") for t in texts]
 
 
+def test_ids_of_long_words_are_those_of_the_library(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piecetokens.tokenizer_file())
+    r = random.Random(6)
+    texts = ["".join(r.choices("etaoinshrdluéßжи的一是不了人我在有他這x=/é🙂", k=n)) for n in (40_000, 3_000, 50)] + ["ab" * 20_000, "x" * 3_000]
+    for most in (piecetokens.WORD_CHARS, 20):
+        monkeypatch.setattr(piecetokens, "WORD_CHARS", most)
+        tokens = piecetokens.PieceTokens(piecetokens.tokenizer_file())
+        assert sum(1 for _ in tokens.parts(texts[0])) > 1
+        ids, sizes = tokens.encode(pa.array(texts + texts[:1]))
+        assert np.split(ids, np.cumsum(sizes)[:-1])[1].tolist() == sp.encode(texts[1])
+        assert ids.tolist() == [i for t in texts + texts[:1] for i in sp.encode(t)]
+
+
 def test_best_fit_by_brute_force():
     r = random.Random(4)
     fit, free = packing.BestFit(100, 10_000), {}
