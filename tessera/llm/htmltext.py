@@ -126,9 +126,9 @@ def leaf_blocks(page: str) -> list[Block]:
                 at = len(page)
             continue
         tag = tag.lower()
-        if tag == "head":
+        if tag == "head" or tag == "svg" and m["attrs"].endswith("/"):
             continue
-        if tag in SILENT and not m["end"] and tag not in no_end and not (tag == "svg" and m["attrs"].endswith("/")):
+        if tag in SILENT and not m["end"] and tag not in no_end:
             end = END[tag].search(page, at, stop)
             if end:
                 at = end.end()
