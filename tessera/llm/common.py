@@ -40,10 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written(); only for those that nothing reads any more, a lost executor's work included."""
+    """Deletes tables of written(); only for those that nothing reads any more, a lost executor's work included. Spark deletes the shuffles and
+    broadcasts behind them when the driver's garbage collector has found their plans, so that is run."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    give_back()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def give_back() -> None:
