@@ -63,7 +63,8 @@ ANY = r"(?<![A-Za-z0-9])(?=[\w.+%(:гκ-])(?:" + "|".join(PATTERNS.values()) + "
 
 #: Characters that stand for each other.
 ALPHABETS = [
-    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz",  # the first three: ASCII without upper case
+    "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
     "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñ", "ÇÑ",
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
@@ -152,13 +153,13 @@ def surrogate(e: str, kind: str, draw: str) -> str:
         f"regexp_extract(e, {quoted(r'^(?:\+\d{1,3}(?=[ .(-])|\+\d{2}|0)?')}, 0)", "cc",
         let("regexp_replace(substr(e, length(cc) + 1), '[^0-9]', '')", "d", let(perm("substr(d, 2)", "phone", LETTERS[:1]), "r", f"concat(cc, {laid_over(lead, 'substr(e, length(cc) + 1)')})")),
     )
-    # Addresses that differ in case only are one.
+    # Addresses that differ in case only are one; their characters are ASCII.
     local, host = "substring_index(e, '@', 1)", "substring_index(e, '@', -1)"
     top = "substring_index(h, '.', -1)"
     label = f"substr(h, 1, length(h) - length({top}) - 1)"
     email = let(
         host, "h",
-        f"concat({recased(perm(f'lower({local})', 'mail', ALPHABETS, 'lower(h)'), local)}, '@', {recased(perm(f'lower({label})', 'host', ALPHABETS, f'lower({top})'), label)}, '.', {top})",
+        f"concat({recased(perm(f'lower({local})', 'mail', ALPHABETS[:3], 'lower(h)'), local)}, '@', {recased(perm(f'lower({label})', 'host', ALPHABETS[:3], f'lower({top})'), label)}, '.', {top})",
     )
     secret = f"case when e rlike '^[0-9a-f]+$' then {perm('e', 'hex', HEX)} else concat(substr(e, 1, 4), {perm('substr(e, 5)', 'key', LETTERS)}) end"
     iban = f"concat(substr(e, 1, 2), {perm('substr(e, 3)', 'iban', LETTERS)})"
