@@ -79,9 +79,9 @@ def quoted(s: str) -> str:
 
 def shifted(part: str, h: str, alphabets: list[str]) -> str:
     """SQL: each character of `part` moved on in its alphabet by a byte of the hex hash `h`."""
-    n = f"cast(conv(substr({h}, (i % 32) * 2 + 1, 2), 16, 10) as int)"
+    n = "cast(conv(substr(hx, (i % 32) * 2 + 1, 2), 16, 10) as int)"
     cases = " ".join(f"when instr({quoted(a)}, c) > 0 then substr({quoted(a)}, (instr({quoted(a)}, c) - 1 + {n}) % {len(a)} + 1, 1)" for a in alphabets)
-    return f"array_join(transform(split({part}, ''), (c, i) -> case when c = '' then '' {cases} else c end), '')"
+    return let(h, "hx", f"array_join(transform(split({part}, ''), (c, i) -> case when c = '' then '' {cases} else c end), '')")
 
 
 def permuted(text: str, tweak: str, alphabets: list[str]) -> str:
