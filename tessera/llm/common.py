@@ -43,7 +43,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of written(); only for those that nothing reads any more, a lost executor's work included."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:

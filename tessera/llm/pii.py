@@ -164,12 +164,13 @@ def surrogate(e: str, kind: str, draw: str) -> str:
     secret = f"case when e rlike '^[0-9a-f]+$' then {perm('e', 'hex', HEX)} else concat(substr(e, 1, 4), {perm('substr(e, 5)', 'key', LETTERS)}) end"
     iban = f"concat(substr(e, 1, 2), {perm('substr(e, 3)', 'iban', LETTERS)})"
     # When draws don't help (an alphabet that isn't known, a form with few members): a tag from a hash.
-    last = f"concat({kind}, '-', substr(sha2(concat(subkey, {kind}, {draw}, e), 256), 1, 24))"
-    return let(
+    last = f"concat(kd, '-', substr(sha2(concat(subkey, kd, {draw}, e), 256), 1, 24))"
+    body = let(
         e, "e",
-        f"case when {draw} >= {DRAWS} then {last} when {kind} = 'email' then {email} when {kind} = 'ip' then {let("transform(split(e, '\\\\.'), x -> cast(x as bigint))", 'o', ip)} "
-        f"when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'hexid' then case when e rlike '[A-F]' then {perm('e', 'hexid', [HEX[0].upper()])} else {perm('e', 'hexid', HEX)} end when {kind} = 'ssn' then {perm('e', 'ssn', LETTERS[:1])} when {kind} = 'iban' then {iban} when {kind} = 'secret' then {secret} else {name} end",
+        f"case when {draw} >= {DRAWS} then {last} when kd = 'email' then {email} when kd = 'ip' then {let("transform(split(e, '\\\\.'), x -> cast(x as bigint))", 'o', ip)} "
+        f"when kd = 'card' then {card} when kd = 'phone' then {phone} when kd = 'hexid' then case when e rlike '[A-F]' then {perm('e', 'hexid', [HEX[0].upper()])} else {perm('e', 'hexid', HEX)} end when kd = 'ssn' then {perm('e', 'ssn', LETTERS[:1])} when kd = 'iban' then {iban} when kd = 'secret' then {secret} else {name} end",
     )
+    return let(kind, "kd", body)
 
 
 def kind_of(e: str) -> str:
