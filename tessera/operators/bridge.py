@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
 from ..sources import adapt
+from ..sources.tables import settled
 from . import growth
 
 TARGET, ALPHA, STEPS, TOP = "Brand#12", 0.85, 6, 10
@@ -57,31 +58,33 @@ def target_of(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(TARGET,)], "channel string")
 
 
-def diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppr(hops(audience(spark, sf_dir)), target_of(spark))
+def diffusion(spark: SparkSession, a: DataFrame) -> DataFrame:
+    """(target, channel, r) from the audience. The steps' probabilities, a row a pair of channels, are settled: each of the steps reads them."""
+    return ppr(settled(hops(a), "hops"), target_of(spark))
 
 
 def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("target").orderBy(F.round("r", 8).desc(), "channel")
-    return diffusion(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP).select("target", "channel", "rank", rounded("r").alias("r"))
+    return diffusion(spark, audience(spark, sf_dir)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= TOP).select("target", "channel", "rank", rounded("r").alias("r"))
 
 
-def shared_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, n): commenters shared with the target. Joins the target's commenters only."""
-    a = audience(spark, sf_dir).select("channel", "commenter")
+def shared_with_target(a: DataFrame) -> DataFrame:
+    """(channel, n) from the audience: commenters shared with the target. Joins the target's commenters only."""
+    a = a.select("channel", "commenter")
     return a.where(F.col("channel") != TARGET).join(a.where(F.col("channel") == TARGET).select("commenter"), "commenter", "left_semi").groupBy("channel").agg(F.count("*").alias("n"))
 
 
 def shared_audience_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_with_target(spark, sf_dir).select(F.lit(TARGET).alias("target"), "channel", F.col("n").alias("n_shared"), rounded(F.col("n") / (F.col("n") + KAPPA)).alias("confidence"))
+    return shared_with_target(audience(spark, sf_dir)).select(F.lit(TARGET).alias("target"), "channel", F.col("n").alias("n_shared"), rounded(F.col("n") / (F.col("n") + KAPPA)).alias("confidence"))
 
 
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, ppr, topic_similarity, confidence, score) of each other channel."""
-    r = diffusion(spark, sf_dir).where(F.col("channel") != TARGET)
+    a = settled(audience(spark, sf_dir), "audience")
+    r = settled(diffusion(spark, a).where(F.col("channel") != TARGET), "diffusion")
     most = r.agg(F.max("r").alias("most"))
     s = growth.similarities(spark, sf_dir).where(F.col("a") == TARGET).select(F.col("b").alias("channel"), "s")
-    c = shared_with_target(spark, sf_dir).select("channel", (F.col("n") / (F.col("n") + KAPPA)).alias("confidence"))
+    c = shared_with_target(a).select("channel", (F.col("n") / (F.col("n") + KAPPA)).alias("confidence"))
     x = r.join(F.broadcast(most)).join(s, "channel", "left").join(c, "channel", "left").na.fill(0.0, ["s", "confidence"])  # one row
     ppr_norm = F.try_divide("r", "most")
     return x.select("channel", ppr_norm.alias("ppr"), F.col("s").alias("topic_similarity"), "confidence", (F.col("confidence") * (LAMBDA * ppr_norm + (1 - LAMBDA) * F.col("s"))).alias("score"))

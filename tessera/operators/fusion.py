@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
+from ..sources.tables import settled
 from . import bridge, demand, growth
 
 WEIGHTS = {"opportunity": 0.4, "gap": 0.3, "bridge": 0.3}
 
 
 def ranked(df: DataFrame, component: str) -> DataFrame:
-    """(channel, component, norm, confidence): scores as their share of channels that are not better."""
+    """(channel, component, norm, confidence): scores as their share of channels that are not better. The component, a row a channel, is
+    settled, so that the driver plans one at a time and not all as one query."""
+    df = settled(df, component)
     w = Window.orderBy(F.round("score", 8))
     return df.select("channel", F.lit(component).alias("component"), F.percent_rank().over(w).alias("norm"), "confidence")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -41,6 +44,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table under spark.checkpoint.dir, the folder that driver and executors share (a temporary one in local runs): what comes
+    after is planned without what came before, and what is read several times is computed once."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = settled.own = getattr(settled, "own", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    at = f"{at.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def read_landed(spark: SparkSession, path: str, entity: str, form: str = "json") -> DataFrame:
     """Landed API responses as typed rows; a row that isn't of the schema stops the read."""
     reader = spark.read.schema(ENTITIES[entity])

@@ -179,3 +179,11 @@ def test_each_channel_is_a_target(spark, data):
         want = one(spark, data)
         assert {r["target"] for r in got} == every
         assert sorted(tuple(r[c] for c in want.columns) for r in got if r["target"] == bridge.TARGET) == sorted(map(tuple, want.collect()))
+
+
+def test_the_plan_of_recommendations_stays_small(spark, data):
+    """The components' own plans, with a join of lines for each use, are not in it: the driver holds what it plans."""
+    from tessera.operators import fusion
+
+    plan = fusion.recommend_topk(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
