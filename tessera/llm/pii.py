@@ -80,7 +80,12 @@ def quoted(s: str) -> str:
 def shifted(part: str, h: str, alphabets: list[str]) -> str:
     """SQL: each character of `part` moved on in its alphabet by a byte of the hex hash `h`."""
     n = "cast(conv(substr(hx, (i % 32) * 2 + 1, 2), 16, 10) as int)"
-    cases = " ".join(f"when instr({quoted(a)}, c) > 0 then substr({quoted(a)}, (instr({quoted(a)}, c) - 1 + {n}) % {len(a)} + 1, 1)" for a in alphabets)
+    if len(alphabets) < 3:
+        cases = " ".join(f"when instr({quoted(a)}, c) > 0 then substr({quoted(a)}, (instr({quoted(a)}, c) - 1 + {n}) % {len(a)} + 1, 1)" for a in alphabets)
+    else:  # a character's alphabet is what stands around it between line ends, which no entity has: a branch for each would make the plan large
+        s = quoted("\n" + "\n".join(alphabets) + "\n")
+        own = f"concat(substring_index(substring_index({s}, c, 1), '\\n', -1), c, substring_index(substring_index({s}, c, -1), '\\n', 1))"
+        cases = f"when instr({s}, c) > 0 then {let(own, 'al', f'substr(al, (instr(al, c) - 1 + {n}) % length(al) + 1, 1)')}"
     return let(h, "hx", f"array_join(transform(split({part}, ''), (c, i) -> case when c = '' then '' {cases} else c end), '')")
 
 
@@ -130,9 +135,9 @@ def surrogate(e: str, kind: str, draw: str) -> str:
         return permuted(text, f"concat({quoted(what)}, {draw}, {more})", alphabets)
 
     given = " ".join(
-        f"when array_contains(array({', '.join(map(quoted, names))}), w) then element_at(array({', '.join(map(quoted, names))}), "
-        f"cast((array_position(array({', '.join(map(quoted, names))}), w) + conv(substr(sha2(concat(subkey, '{g}', {draw}), 256), 1, 6), 16, 10) % {len(names) - 1}) % {len(names)} as int) + 1)"
+        f"when array_contains({of}, w) then element_at({of}, cast((array_position({of}, w) + conv(substr(sha2(concat(subkey, '{g}', {draw}), 256), 1, 6), 16, 10) % {len(names) - 1}) % {len(names)} as int) + 1)"
         for g, names in GIVEN.items()
+        for of in [f"split({quoted(' '.join(names))}, ' ')"]
     )
     kept = "greatest(length(w) - 1, 1)"
     name = (
