@@ -36,8 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id. Shingles are of five words, and texts similar from 0.8."""
-    groups = simhash.similar_groups(docs).where(F.col("stays") & F.col("doc_id").isNotNull())
+    """One document of each group of near duplicates stays: that with the smallest doc_id. Groups are those of
+    op6_simhash, by its fingerprints and multi-index hashing, joined where sets of shingles of five words are similar from 0.8."""
+    groups = simhash.similar_groups(docs, linked=True).where(F.col("stays") & F.col("doc_id").isNotNull())
     stays = written(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "stays")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     kept = rows.join(stays.where("n = 1").drop("n"), ["doc_id", "text_hash"], "left_semi")

@@ -188,7 +188,18 @@ def unmet(sets: DataFrame, family: DataFrame, similarity: float) -> DataFrame:
     return within.union(beside).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def linked_sets(fps: DataFrame) -> DataFrame:
+    """(a, b): sets of shingles (id) whose texts' fingerprints (fp) are equal or link, each fingerprint by the first of its sets."""
+    of = written(fps.select("fp", "id").distinct(), "of")
+    node = written(of.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    same = of.join(node, "fp").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    near = links(node.select("fp")).join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    out = written(same.union(near).where("a <> b").distinct(), "linked")
+    discard(of, node)
+    return out
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, linked: bool = False) -> DataFrame:
     """(doc_id, text_hash, component_id, stays) of each row: groups of texts whose sets of shingles of `words` words have a
     Jaccard similarity of `similarity` or more, directly or through others. component_id is the group's smallest doc_id;
     `stays` holds for the rows of one text of it, that of the smallest (doc_id, text_hash); text_hash is Spark's xxhash64.
@@ -197,6 +208,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     compared with one of them, its pivot: the member that meets most others. So a bucket costs a row a member however many
     copies it has. Members that this leaves in different groups are compared with each other where what they have
     of the pivot and beside it doesn't rule the similarity out (`unmet`), so that every pair of a bucket is covered.
+    `linked`: texts whose fingerprints link (`links`: at 3 bits, by multi-index hashing) are of one group too.
 
     Null text is empty; all texts without words are one group. A row whose doc_id is null is in no group: its component_id is
     null and it stays. Rows that share a doc_id are told apart by their texts."""
@@ -208,9 +220,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             keys = np.concatenate([np.zeros(0, np.int64), *map(bands, sets)])
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], out.names)
+            fp = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") if linked else 0 for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fp, pa.int64())], out.names)
 
-    out = T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("id", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType())), T.StructField("hs", T.BinaryType())])
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("th", T.LongType()), T.StructField("id", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType())), T.StructField("hs", T.BinaryType()), T.StructField("fp", T.LongType())])
     text = F.col("text").cast("string")
     hashed = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     fps = written(hashed.where(F.col("doc_id").isNotNull()).transform(in_batches, run, out), "fps")
@@ -226,8 +239,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sets = written(fps.join(needed, ["id", "doc_id", "th"], "left_semi").select("id", "hs").dropDuplicates(["id"]), "sets")
     alike = F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9
     like = written(overlaps(sets, pairs.toDF("a", "b")), "like")
-    links = like.where(alike).select("a", "b")
-    roots = components(links)
+    edges = like.where(alike).select("a", "b")
+    if linked:
+        edges = edges.union(by_fp := linked_sets(fps))
+    roots = components(edges)
     of = like.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "shared", F.col("nb").alias("n"))
     of = of.join(roots.toDF("id", "root"), "id", "left").join(roots.toDF("pivot", "own"), "pivot", "left")
     of = of.withColumn("root", F.coalesce("root", "id")).withColumn("main", F.col("root") == F.coalesce("own", "pivot")).drop("own")
@@ -237,12 +252,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         left = written(unmet(sets, family, similarity), "left")
         more = written(overlaps(sets, left).where(alike).select("a", "b"), "more")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            roots = components(edges.union(more))
         discard(left, more)
     reps = one.select("id", "rep")
     grouped = roots.join(reps.withColumnRenamed("id", "node"), "node").select("node", "root", "rep")
     stays = grouped.groupBy("root").agg(F.min("rep").alias("first"))
     first = written(reps.join(grouped.join(stays, "root").select(F.col("node").alias("id"), "first"), "id", "left").select("id", F.coalesce("first", "rep").alias("first")), "groups")
-    discard(one, pairs, sets, like, family)
+    discard(one, pairs, sets, like, family, *([by_fp] if linked else []))
     found = fps.select("doc_id", "th", "id").join(first, "id").select("doc_id", F.col("th").alias("text_hash"), F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("stays"))
     return found.unionByName(hashed.where(F.col("doc_id").isNull()).select("doc_id", F.col("th").alias("text_hash"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))

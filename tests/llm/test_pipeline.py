@@ -123,3 +123,18 @@ def test_recall_by_similarity(spark):
     linked = {x["doc_id"] // 2 for x in rows if x["doc_id"] % 2 and x["component_id"] == x["doc_id"] - 1}
     assert linked <= {k for k in alike if alike[k]}
     assert len(linked) >= 0.99 * sum(alike.values()) > 300
+
+
+def test_near_duplicates_are_those_of_the_fingerprints_too(spark):
+    """Near copies under a similarity of 0.8 whose fingerprints link: one stays, as of the copies that link through a third."""
+    r, pairs = random.Random(3), []
+    for k in range(2000):
+        a = prose(9000 + k, 150)
+        b = edited(r, a, 5)
+        x, y = (simhash.fingerprint(t.encode()) for t in (a, b))
+        if ((x ^ y) & (1 << 64) - 1).bit_count() <= simhash.DISTANCE and jaccard_groups([a, b]) == [0, 1]:
+            pairs.append((a, b))
+    assert len(pairs) >= 3
+    rows = [(2 * k + i, t, "en", "s", len(t)) for k, pair in enumerate(pairs) for i, t in enumerate(pair)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == [2 * k for k in range(len(pairs))]
