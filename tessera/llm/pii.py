@@ -27,6 +27,7 @@ however long. Ties: of entities with one surrogate the first draw, then the firs
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,119 +74,191 @@ LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 HEX = ["0123456789abcdef"]
 
 
-def quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def among(*alphabets: str) -> Column:
+    """Alphabets as one string, between line ends, which no entity has: one expression serves any number of them."""
+    return F.lit("\n" + "\n".join(alphabets) + "\n")
 
 
-def shifted(part: str, h: str, alphabets: list[str]) -> str:
-    """SQL: each character of `part` moved on in its alphabet by a byte of the hex hash `h`."""
-    n = "cast(conv(substr(hx, (i % 32) * 2 + 1, 2), 16, 10) as int)"
-    if len(alphabets) < 3:
-        cases = " ".join(f"when instr({quoted(a)}, c) > 0 then substr({quoted(a)}, (instr({quoted(a)}, c) - 1 + {n}) % {len(a)} + 1, 1)" for a in alphabets)
-    else:  # a character's alphabet is what stands around it between line ends, which no entity has: a branch for each would make the plan large
-        s = quoted("\n" + "\n".join(alphabets) + "\n")
-        own = f"concat(substring_index(substring_index({s}, c, 1), '\\n', -1), c, substring_index(substring_index({s}, c, -1), '\\n', 1))"
-        cases = f"when instr({s}, c) > 0 then {let(own, 'al', f'substr(al, (instr(al, c) - 1 + {n}) % length(al) + 1, 1)')}"
-    return let(h, "hx", f"array_join(transform(split({part}, ''), (c, i) -> case when c = '' then '' {cases} else c end), '')")
+def substr(text: Column, start: Column | int, n: Column | int | None = None) -> Column:
+    return F.call_function("substr", text, *(x if isinstance(x, Column) else F.lit(x) for x in (start, n) if x is not None))
 
 
-def permuted(text: str, tweak: str, alphabets: list[str]) -> str:
-    """SQL: `text` by a four-round Feistel network over its characters; each keeps its alphabet. Texts of one form and one
-    tweak get different results. The key is the column `subkey`."""
-    return (
-        f"aggregate(sequence(0, 3), struct(substr({text}, 1, length({text}) div 2) as l, substr({text}, length({text}) div 2 + 1) as r), "
-        f"(a, j) -> struct(a.r as l, {shifted('a.l', f'sha2(concat(subkey, {tweak}, j, a.r), 256)', alphabets)} as r), a -> concat(a.l, a.r))"
-    )
+def cut(text: Column, by: Column | str, n: int) -> Column:
+    """SQL's substring_index."""
+    return F.call_function("substring_index", text, by if isinstance(by, Column) else F.lit(by), F.lit(n))
 
 
-def luhn(digits: str) -> str:
-    """SQL: what the check digit after `digits` would be."""
-    d = f"cast(substr({digits}, length({digits}) - p, 1) as int)"
-    return f"(10 - aggregate(sequence(0, length({digits}) - 1), 0, (s, p) -> s + case when p % 2 = 1 then {d} when {d} > 4 then {d} * 2 - 9 else {d} * 2 end) % 10) % 10"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def laid_over(digits: str, form: str) -> str:
-    """SQL: `digits` in place of the digits of `form`."""
-    return (
-        f"aggregate(split({form}, ''), struct('' as out, 1 as k), (a, c) -> case when c rlike '^[0-9]$' then struct(concat(a.out, substr({digits}, a.k, 1)) as out, a.k + 1 as k) "
-        f"else struct(concat(a.out, c) as out, a.k as k) end, a -> a.out)"
-    )
+def sha(*parts: Column) -> Column:
+    return F.sha2(F.concat(F.col("subkey"), *parts), 256)
 
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL: body, with name for value."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def of_hex(h: Column) -> Column:
+    return F.conv(h, 16, 10)
 
 
-def recased(new: str, old: str) -> str:
-    """SQL: `new`, of lower case, with the letters in upper case that are in `old`."""
-    return f"array_join(zip_with(split({new}, ''), split({old}, ''), (a, b) -> if(b <> lower(b), upper(a), a)), '')"
+def digits_of(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
 
 
-def real(e: str) -> str:
-    """SQL: whether what a pattern matches is an entity: a card number has its check digit right."""
-    d = "regexp_replace({0}, '[^0-9]', '')".format(e)
-    return f"(not {e} rlike {quoted('^(?:' + PATTERNS['card'] + ')$')} or {luhn(f'substr({d}, 1, length({d}) - 1)')} = cast(right({d}, 1) as int))"
+def shifted(part: Column, h: Column, letters: Column) -> Column:
+    """Each character of `part` moved on in its alphabet (of those in `letters`, see among()) by a byte of the hex hash `h`."""
 
+    def moved(c: Column, i: Column, hx: Column) -> Column:
+        own = F.concat(cut(cut(letters, c, 1), "\n", -1), c, cut(cut(letters, c, -1), "\n", 1))
+        on = of_hex(substr(hx, (i % 32) * 2 + 1, 2)).cast("int")
+        there = let(own, lambda al: substr(al, (F.instr(al, c) - 1 + on) % F.length(al) + 1, 1))
+        return F.when(c == "", "").when(F.instr(letters, c) > 0, there).otherwise(c)
 
-def surrogate(e: str, kind: str, draw: str) -> str:
-    """SQL: the surrogate of entity `e` of type `kind` at a draw (0, 1, ...), by the key in column `subkey`."""
+    return let(h, lambda hx: F.array_join(F.transform(F.split(part, ""), lambda c, i: moved(c, i, hx)), ""))
 
-    def perm(text: str, what: str, alphabets: list[str], more: str = "''") -> str:
-        return permuted(text, f"concat({quoted(what)}, {draw}, {more})", alphabets)
 
-    given = " ".join(
-        f"when array_contains({of}, w) then element_at({of}, cast((array_position({of}, w) + conv(substr(sha2(concat(subkey, '{g}', {draw}), 256), 1, 6), 16, 10) % {len(names) - 1}) % {len(names)} as int) + 1)"
-        for g, names in GIVEN.items()
-        for of in [f"split({quoted(' '.join(names))}, ' ')"]
-    )
-    kept = "greatest(length(w) - 1, 1)"
-    name = (
-        f"concat(regexp_extract(e, {quoted('^' + TITLES + r'\.?[  ]')}, 0), array_join(transform(split(regexp_replace(e, {quoted('^' + TITLES + r'\.?[  ]')}, ''), ' '), "
-        f"w -> case {given} else concat({perm(f'substr(w, 1, {kept})', 'name', ALPHABETS)}, substr(w, {kept} + 1)) end), ' '))"
-    )
-    ip_half = f"cast(conv(substr(sha2(concat(subkey, 'ip', {draw}, j, a.r), 256), 1, 4), 16, 10) as bigint)"
-    ip = (
-        "aggregate(sequence(0, 3), struct(o[0] * 256 + o[1] as l, o[2] * 256 + o[3] as r), "
-        f"(a, j) -> struct(a.r as l, a.l ^ {ip_half} as r), a -> concat_ws('.', a.l div 256, a.l % 256, a.r div 256, a.r % 256))"
+def permuted(text: Column, tweak: Column, letters: Column) -> Column:
+    """`text` by a four-round Feistel network over its characters; each keeps its alphabet. Texts of one form and one
+    tweak get different results. The key is the column `subkey`."""
+    half = F.shiftright(F.length(text), 1)
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(3)),
+        F.struct(substr(text, 1, half).alias("l"), substr(text, half + 1).alias("r")),
+        lambda a, j: F.struct(a["r"].alias("l"), shifted(a["l"], sha(tweak, j, a["r"]), letters).alias("r")),
+        lambda a: F.concat(a["l"], a["r"]),
     )
-    body = f"substr(d, 1, 1) || {perm('substr(d, 2, length(d) - 2)', 'card', LETTERS[:1], 'length(d)')}"
-    check = f"(cast(substr(d, length(d), 1) as int) - {luhn('substr(d, 1, length(d) - 1)')} + 10 + {luhn('b')}) % 10"
-    card = let("regexp_replace(e, '[^0-9]', '')", "d", let(body, "b", laid_over(f"concat(b, {check})", "e")))
-    # The digits after the country's code or trunk 0 change, whatever stands between them; the first one stays one that can begin a number or not.
-    lead = f"concat({shifted('left(d, 1)', f"sha2(concat(subkey, 'lead', {draw}, r), 256)", ['01', '23456789'])}, r)"
-    phone = let(
-        f"regexp_extract(e, {quoted(r'^(?:\+\d{1,3}(?=[ .(-])|\+\d{2}|0)?')}, 0)", "cc",
-        let("regexp_replace(substr(e, length(cc) + 1), '[^0-9]', '')", "d", let(perm("substr(d, 2)", "phone", LETTERS[:1]), "r", f"concat(cc, {laid_over(lead, 'substr(e, length(cc) + 1)')})")),
-    )
-    # Addresses that differ in case only are one; their characters are ASCII.
-    local, host = "substring_index(e, '@', 1)", "substring_index(e, '@', -1)"
-    top = "substring_index(h, '.', -1)"
-    label = f"substr(h, 1, length(h) - length({top}) - 1)"
-    email = let(
-        host, "h",
-        f"concat({recased(perm(f'lower({local})', 'mail', ALPHABETS[:3], 'lower(h)'), local)}, '@', {recased(perm(f'lower({label})', 'host', ALPHABETS[:3], f'lower({top})'), label)}, '.', {top})",
-    )
-    secret = f"case when e rlike '^[0-9a-f]+$' then {perm('e', 'hex', HEX)} else concat(substr(e, 1, 4), {perm('substr(e, 5)', 'key', LETTERS)}) end"
-    iban = f"concat(substr(e, 1, 2), {perm('substr(e, 3)', 'iban', LETTERS)})"
-    # When draws don't help (an alphabet that isn't known, a form with few members): a tag from a hash.
-    last = f"concat(kd, '-', substr(sha2(concat(subkey, kd, {draw}, e), 256), 1, 24))"
-    body = let(
-        e, "e",
-        f"case when {draw} >= {DRAWS} then {last} when kd = 'email' then {email} when kd = 'ip' then {let("transform(split(e, '\\\\.'), x -> cast(x as bigint))", 'o', ip)} "
-        f"when kd = 'card' then {card} when kd = 'phone' then {phone} when kd = 'hexid' then case when e rlike '[A-F]' then {perm('e', 'hexid', [HEX[0].upper()])} else {perm('e', 'hexid', HEX)} end when kd = 'ssn' then {perm('e', 'ssn', LETTERS[:1])} when kd = 'iban' then {iban} when kd = 'secret' then {secret} else {name} end",
-    )
-    return let(kind, "kd", body)
-
-
-def kind_of(e: str) -> str:
-    """SQL: the type of a detected entity."""
-    return "case " + " ".join(f"when {e} rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'name' end"
+
+
+def luhn(digits: Column) -> Column:
+    """What the check digit after `digits` would be."""
+
+    def added(s: Column, p: Column) -> Column:
+        d = substr(digits, F.length(digits) - p, 1).cast("int")
+        return s + F.when(p % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+
+    return (F.lit(10) - F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), added) % 10) % 10
+
+
+def laid_over(digits: Column, form: Column) -> Column:
+    """`digits` in place of the digits of `form`."""
+
+    def step(a: Column, c: Column) -> Column:
+        digit = c.rlike("^[0-9]$")
+        return F.struct(F.concat(a["out"], F.when(digit, substr(digits, a["k"], 1)).otherwise(c)).alias("out"), F.when(digit, a["k"] + 1).otherwise(a["k"]).alias("k"))
+
+    return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda a: a["out"])
+
+
+def recased(new: Column, old: Column) -> Column:
+    """`new`, of lower case, with the letters in upper case that are in `old`."""
+    return F.array_join(F.zip_with(F.split(new, ""), F.split(old, ""), lambda a, b: F.when(b != F.lower(b), F.upper(a)).otherwise(a)), "")
+
+
+def real(e: Column) -> Column:
+    """Whether what a pattern matches is an entity: a card number has its check digit right."""
+    d = digits_of(e)
+    return ~e.rlike(f"^(?:{PATTERNS['card']})$") | (luhn(substr(d, 1, F.length(d) - 1)) == F.right(d, F.lit(1)).cast("int"))
+
+
+def surrogate(e: Column, kind: Column, draw: Column) -> Column:
+    """The surrogate of entity `e` of type `kind` at a draw (0, 1, ...), by the key in column `subkey`. A type's texts to permute come as
+    an array, so that one network serves all types; then each type puts its surrogate together."""
+
+    def part(text: Column, what: str, letters: Column, *more: Column) -> Column:
+        return F.struct(text.alias("text"), F.concat(F.lit(what), draw, *more).alias("tweak"), letters.alias("letters"))
+
+    def chosen(kd: Column, by: dict[str, Column], other: Column) -> Column:
+        out = F
+        for k, v in by.items():
+            out = out.when(kd == k, v)
+        return out.otherwise(other)
+
+    def given(w: Column, other: Column) -> Column:
+        out = F
+        for g, names in GIVEN.items():
+            of = F.split(F.lit(" ".join(names)), " ")
+            moved = F.array_position(of, w) + of_hex(substr(sha(F.lit(g), draw), 1, 6)) % (len(names) - 1)
+            out = out.when(F.array_contains(of, w), F.element_at(of, (moved % len(names)).cast("int") + 1))
+        return out.otherwise(other)
+
+    def body(e: Column, kd: Column) -> Column:
+        titled = rf"^{TITLES}\.?[ \xa0]"
+        words = F.split(F.regexp_replace(e, titled, ""), " ")
+        kept = lambda w: F.greatest(F.length(w) - 1, F.lit(1))
+        # Addresses that differ in case only are one; their characters are ASCII.
+        local, host = cut(e, "@", 1), cut(e, "@", -1)
+        top = cut(host, ".", -1)
+        label = substr(host, 1, F.length(host) - F.length(top) - 1)
+        d = digits_of(e)
+        # The digits after the country's code or trunk 0 change, whatever stands between them; the first one stays one that can begin a number or not.
+        code = F.regexp_extract(e, r"^(?:\+\d{1,3}(?=[ .(-])|\+\d{2}|0)?", 0)
+        number = substr(e, F.length(code) + 1)
+        digits, mail, key = among(*LETTERS[:1]), among(*ALPHABETS[:3]), among(*LETTERS)
+        plain = e.rlike("^[0-9a-f]+$")
+        parts = chosen(
+            kd,
+            {
+                "email": F.array(part(F.lower(local), "mail", mail, F.lower(host)), part(F.lower(label), "host", mail, F.lower(top))),
+                "card": F.array(part(substr(d, 2, F.length(d) - 2), "card", digits, F.length(d))),
+                "phone": F.array(part(substr(digits_of(number), 2), "phone", digits)),
+                "hexid": F.array(part(e, "hexid", F.when(e.rlike("[A-F]"), among(HEX[0].upper())).otherwise(among(*HEX)))),
+                "ssn": F.array(part(e, "ssn", digits)),
+                "iban": F.array(part(substr(e, 3), "iban", key)),
+                "secret": F.array(F.when(plain, part(e, "hex", among(*HEX))).otherwise(part(substr(e, 5), "key", key))),
+            },
+            F.transform(words, lambda w: part(substr(w, 1, kept(w)), "name", among(*ALPHABETS))),
+        )
+        ip_half = lambda a, j: of_hex(substr(sha(F.lit("ip"), draw, j, a["r"]), 1, 4)).cast("bigint")
+        of_bytes = lambda x: F.concat_ws(".", F.shiftright(x, 8).cast("string"), (x % 256).cast("string"))
+        ip = let(
+            F.transform(F.split(e, r"\."), lambda x: x.cast("bigint")),
+            lambda o: F.aggregate(
+                F.sequence(F.lit(0), F.lit(3)),
+                F.struct((o[0] * 256 + o[1]).alias("l"), (o[2] * 256 + o[3]).alias("r")),
+                lambda a, j: F.struct(a["r"].alias("l"), a["l"].bitwiseXOR(ip_half(a, j)).alias("r")),
+                lambda a: F.concat_ws(".", of_bytes(a["l"]), of_bytes(a["r"])),
+            ),
+        )
+
+        def together(new: Column) -> Column:
+            first = new[0]
+            check = lambda b: (substr(d, F.length(d), 1).cast("int") - luhn(substr(d, 1, F.length(d) - 1)) + 10 + luhn(b)) % 10
+            card = let(F.concat(substr(d, 1, 1), first), lambda b: laid_over(F.concat(b, check(b)), e))
+            lead = F.concat(shifted(F.left(digits_of(number), F.lit(1)), sha(F.lit("lead"), draw, first), among("01", "23456789")), first)
+            name = F.transform(words, lambda w, i: given(w, F.concat(F.get(new, i), substr(w, kept(w) + 1))))
+            return chosen(
+                kd,
+                {
+                    "email": F.concat(recased(first, local), F.lit("@"), recased(new[1], label), F.lit("."), top),
+                    "card": card,
+                    "phone": F.concat(code, laid_over(lead, number)),
+                    "hexid": first,
+                    "ssn": first,
+                    "iban": F.concat(substr(e, 1, 2), first),
+                    "secret": F.when(plain, first).otherwise(F.concat(substr(e, 1, 4), first)),
+                },
+                F.concat(F.regexp_extract(e, titled, 0), F.array_join(name, " ")),
+            )
+
+        networks = let(F.transform(parts, lambda p: permuted(p["text"], p["tweak"], p["letters"])), together)
+        # When draws don't help (an alphabet that isn't known, a form with few members): a tag from a hash.
+        last = F.concat(kd, F.lit("-"), substr(sha(kd, draw, e), 1, 24))
+        return F.when(draw >= DRAWS, last).when(kd == "ip", ip).otherwise(networks)
+
+    return let(e, lambda x: let(kind, lambda kd: body(x, kd)))
+
+
+def kind_of(e: Column) -> Column:
+    """The type of a detected entity."""
+    out = F
+    for k, p in PATTERNS.items():
+        out = out.when(e.rlike(f"^(?:{p})$"), F.lit(k))
+    return out.otherwise("name")
 
 
 def found(text: str = "text") -> Column:
     """The entities of the text, in order."""
-    return F.expr(f"coalesce(regexp_extract_all({text}, {quoted(ANY)}, 0), array())")
+    return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), F.array())
 
 
 def keyed(spark: SparkSession, key: str) -> DataFrame:
@@ -195,8 +268,8 @@ def keyed(spark: SparkSession, key: str) -> DataFrame:
 
 def redrawn(docs: DataFrame, secret: DataFrame) -> DataFrame:
     """(entity, kind, draw, surrogate) of the entities whose first draw would not do: all others are draw 0."""
-    all_of = docs.select(F.explode(found()).alias("entity")).distinct().where(F.expr(real("entity"))).withColumn("kind", F.expr(kind_of("entity"))).withColumn("draw", F.lit(0))
-    drawn = F.expr(surrogate("entity", "kind", "draw"))
+    all_of = docs.select(F.explode(found()).alias("entity")).distinct().where(real(F.col("entity"))).withColumn("kind", kind_of(F.col("entity"))).withColumn("draw", F.lit(0))
+    drawn = surrogate(F.col("entity"), F.col("kind"), F.col("draw"))
     names = ["entity", "kind", "draw", "surrogate"]
     state = written(all_of.crossJoin(F.broadcast(secret)).withColumn("surrogate", drawn).select(names), "entities")
     # A surrogate is no entity of any text, in any case.
@@ -220,24 +293,33 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     other = redrawn(docs, secret)
     # The row is one column until the end, so that no other column's name can clash. The key's table has one row.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").withColumn("hits", found()).crossJoin(F.broadcast(secret))
-    one = f"case when {real('x')} then {surrogate('x', kind_of('x'), '0')} else x end"
-    if not other.isEmpty():
+    # Column functions and not SQL text: the parser keeps what it has learnt of long nested texts for good, over 100 MB of the driver's memory.
+    def one(x: Column) -> Column:
+        first = F.when(real(x), surrogate(x, kind_of(x), F.lit(0))).otherwise(x)
+        return F.coalesce(F.element_at("drawn", x), first) if again else first
+
+    if again := not other.isEmpty():
         # Only documents that mention a redrawn entity take part: by text, as doc_id may repeat.
         rows = rows.withColumn("th", F.xxhash64("text"))
         mentions = rows.select("th", F.explode("hits").alias("entity")).join(other, "entity").groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("drawn"))
         rows = rows.join(written(mentions, "mentions"), "th", "left")
-        one = f"coalesce(element_at(drawn, x), {one})"
-    rows = rows.withColumn("new", F.expr(f"transform(hits, x -> {one})"))
+    rows = rows.withColumn("new", F.transform("hits", one))
     # Names found after a title, longest first, and the surrogates that their mentions without one get.
-    title = quoted(rf"^{TITLES}\.?[ \xa0]")
-    named = f"filter(zip_with(hits, new, (x, s) -> if(x rlike {title}, struct(-length(x) as n, regexp_replace(x, {title}, '') as bare, regexp_replace(s, {title}, '') as other), null)), x -> x is not null)"
-    rows = rows.withColumn("names", F.expr(f"array_sort(array_distinct({named}))"))
+    title = rf"^{TITLES}\.?[ \xa0]"
+    bare = lambda x: F.regexp_replace(x, title, "")
+    named = F.zip_with("hits", "new", lambda x, s: F.when(x.rlike(title), F.struct((-F.length(x)).alias("n"), bare(x).alias("bare"), bare(s).alias("other"))))
+    rows = rows.withColumn("names", F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))))
     edge = r"[\p{L}\p{M}\d]"
-    again = f"concat({quoted('(?<!' + edge + ')(?:')}, array_join(transform(names, x -> concat({quoted(chr(92) + 'Q')}, x.bare, {quoted(chr(92) + 'E')})), '|'), {quoted(')(?!' + edge + ')')})"
-    told = f"zip_with(split(p, {again}, -1), regexp_extract_all(p, {again}, 0), (q, t) -> concat(q, coalesce(try_element_at(filter(names, x -> x.bare = t), 1).other, '')))"
-    part = f"if(size(names) = 0, p, array_join({told}, ''))"
-    text = F.expr(f"case when size(hits) = 0 then row.text else array_join(zip_with(split(text, {quoted(ANY)}, -1), new, (p, s) -> concat({part}, coalesce(s, ''))), '') end")
-    count = F.expr(f"coalesce(cast(greatest(size(filter(hits, x -> {real('x')})), 0) as long), 0L)")
+    mention = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(F.transform("names", lambda x: F.concat(F.lit(r"\Q"), x["bare"], F.lit(r"\E"))), "|"), F.lit(f")(?!{edge})"))
+
+    def told(p: Column) -> Column:
+        by_name = lambda t: F.try_element_at(F.filter("names", lambda x: x["bare"] == t), F.lit(1))["other"]
+        parts = F.zip_with(F.split(p, mention, -1), F.regexp_extract_all(p, mention, F.lit(0)), lambda q, t: F.concat(q, F.coalesce(by_name(t), F.lit(""))))
+        return F.when(F.size("names") == 0, p).otherwise(F.array_join(parts, ""))
+
+    parts = F.zip_with(F.split("text", ANY, -1), "new", lambda p, s: F.concat(told(p), F.coalesce(s, F.lit(""))))
+    text = F.when(F.size("hits") == 0, F.col("row.text")).otherwise(F.array_join(parts, ""))
+    count = F.coalesce(F.greatest(F.size(F.filter("hits", real)), F.lit(0)).cast("long"), F.lit(0).cast("long"))
     return rows.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_entities"), count.alias("n_entities"))
 
 

@@ -297,6 +297,14 @@ def test_surrogates_use_no_python(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_surrogates_take_little_planning(spark, monkeypatch):
+    parsed, expr = [""], pii.F.expr
+    monkeypatch.setattr(pii.F, "expr", lambda text: parsed.append(text) or expr(text))
+    plan = pii.replaced(frame(spark, [A]))._jdf.queryExecution().optimizedPlan().toString()
+    # The parser keeps what it learns of long texts; one network serves all types: its hash, one of an address, of two lists of names and of a number's lead.
+    assert max(map(len, parsed)) < 2000 and plan.count("sha2(") == 5
+
+
 def packed_ok(rows, length):
     by = {}
     for x in rows:
